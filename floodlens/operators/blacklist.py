@@ -70,7 +70,7 @@ def mark_blacklisted(packets: DataFrame, blacklist: DataFrame, bucket: str = "1
         broadcast_if_small(permanent), "src_ip", "left"
     )
     dropped = F.col("_src").isNotNull() | F.coalesce(at >= F.col("_forever_from"), F.lit(False))
-    return joined.select(*[packets[c] for c in packets.columns], dropped.alias("dropped"))
+    return joined.select(*packets.columns, dropped.alias("dropped"))
 
 
 def blacklist_filter(packets: DataFrame, blacklist: DataFrame, keep: str = "passed") -> DataFrame:

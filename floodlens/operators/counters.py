@@ -64,11 +64,11 @@ def counter_aggregates() -> list[Column]:
     ]
 
 
-def _count(packets: DataFrame, keys: Sequence[str], by_cpu: bool) -> DataFrame:
+def _count(packets: DataFrame, keys: Sequence[str | Column], by_cpu: bool) -> DataFrame:
     classified = classify_protocol(packets)
     if by_cpu:
         per_cpu = classified.groupBy(*keys, "cpu").agg(*counter_aggregates())
-        return merge_counters(per_cpu, keys)
+        return merge_counters(per_cpu, per_cpu.columns[: len(keys)])
     return classified.groupBy(*keys).agg(*counter_aggregates())
 
 
@@ -88,12 +88,18 @@ def source_counters(packets: DataFrame, by_cpu: bool = False, with_iat_sq: bool
 def windowed_counters(
     packets: DataFrame, window: str = DEFAULT_WINDOW, by_cpu: bool = False, with_iat_sq: bool = False
 ) -> DataFrame:
-    """Counters per source and tumbling window; gaps never cross a window border."""
-    framed = add_window(packets, window)
-    counted = _count(framed, WINDOW_KEYS, by_cpu)
+    """Counters per source and tumbling window; gaps never cross a window border.
+
+    Grouping is by the window struct itself, which keeps the event time of streams.
+    """
+    counted = _count(packets, ["src_ip", F.window("ts", to_interval(window)).alias("_w")], by_cpu)
+    others = [c for c in counted.columns if c not in ("src_ip", "_w")]
+    counted = counted.select(
+        "src_ip", F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *others
+    )
     if with_iat_sq:
         slices = max(to_micros(window) // 64, 1)
-        squares = iat_squares(framed, WINDOW_KEYS, slices, by_cpu)
+        squares = iat_squares(add_window(packets, window), WINDOW_KEYS, slices, by_cpu)
         counted = counted.join(squares, WINDOW_KEYS)
     return counted
 
