@@ -14,22 +14,21 @@ _DIGITS = 13
 HASH_RANGE = 16**_DIGITS
 
 
-def key_digest(key: Column | str, salt: object) -> Column:
-    """32 hexadecimal digits that depend on the salt and the key."""
-    k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{salt}:"), k.cast("string")))
+def _number_sql(key: str, salt: object) -> str:
+    digest = f"md5(concat('{salt}:', CAST(`{key}` AS STRING)))"
+    return f"CAST(conv(substring({digest}, 1, {_DIGITS}), 16, 10) AS BIGINT)"
 
 
-def key_number(key: Column | str, salt: object) -> Column:
-    """Uniform BIGINT in [0, 2**52)."""
-    return F.conv(F.substring(key_digest(key, salt), 1, _DIGITS), 16, 10).cast("long")
+def key_number(key: str, salt: object) -> Column:
+    """Uniform BIGINT in [0, 2**52) from a key column."""
+    return F.expr(_number_sql(key, salt))
 
 
-def key_uniform(key: Column | str, salt: object) -> Column:
+def key_uniform(key: str, salt: object) -> Column:
     """Uniform DOUBLE in [0, 1)."""
-    return key_number(key, salt) / F.lit(float(HASH_RANGE))
+    return F.expr(f"{_number_sql(key, salt)} / double({HASH_RANGE}L)")
 
 
-def key_bucket(key: Column | str, salt: object, buckets: int) -> Column:
+def key_bucket(key: str, salt: object, buckets: int) -> Column:
     """Uniform BIGINT in [0, buckets)."""
-    return key_number(key, salt) % F.lit(buckets)
+    return F.expr(f"{_number_sql(key, salt)} % {buckets}L")

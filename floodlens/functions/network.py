@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DOTTED = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
+# --- fixed value: four decimal octets -------------------------------------------
+DOTTED = r"^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
+# ---------------------------------------------------------------------------
 
 
-def int_to_ip(value: Column | str) -> Column:
-    """Dotted text of an unsigned 32-bit address held in a BIGINT."""
-    v = F.col(value) if isinstance(value, str) else value
-    octets = [F.shiftright(v, shift).bitwiseAND(F.lit(255)) for shift in (24, 16, 8, 0)]
-    return F.concat_ws(".", *[o.cast("string") for o in octets])
+def int_to_ip(value: str) -> Column:
+    """Dotted text of an unsigned 32-bit address held in a BIGINT column."""
+    octets = ", ".join(f"shiftright({value}, {shift}) & 255" for shift in (24, 16, 8, 0))
+    return F.expr(f"concat_ws('.', {octets})")
 
 
-def ip_to_int(text: Column | str) -> Column:
-    """Unsigned value of a dotted address; 0 when the text is not IPv4."""
-    t = F.col(text) if isinstance(text, str) else text
-    parts = F.split(t, r"\.")
-    value = F.lit(0).cast("long")
-    for i in range(4):
-        value = value * 256 + F.get(parts, F.lit(i)).cast("long")
-    return F.when(t.rlike(_DOTTED), value).otherwise(F.lit(0).cast("long"))
+def ip_to_int(text: str) -> Column:
+    """Unsigned value of a dotted address column; 0 when the text is not IPv4."""
+    octets = " + ".join(
+        f"CAST(split_part({text}, '.', {i}) AS BIGINT) * {256 ** (4 - i)}" for i in range(1, 5)
+    )
+    return F.expr(f"CASE WHEN {text} RLIKE r'{DOTTED}' THEN {octets} ELSE 0L END")
 
 
-def unsigned(frame: Column, pos: Column | int, width: int = 1) -> Column:
-    """Big-endian unsigned integer of ``width`` bytes at a 0-based offset."""
-    at = F.lit(pos) if isinstance(pos, int) else pos
-    piece = frame.substr(at + 1, F.lit(width))
-    return F.conv(F.hex(piece), 16, 10).cast("long")
+def unsigned_sql(frame: str, pos: str | int, width: int = 1) -> str:
+    """Big-endian unsigned integer of ``width`` bytes at a 0-based offset, as SQL."""
+    return f"CAST(conv(hex(substring({frame}, {pos} + 1, {width})), 16, 10) AS BIGINT)"

@@ -1,11 +1,13 @@
 """The derived traffic features, each a guarded expression over mergeable sums.
 
-Division is guarded because ANSI mode raises on a zero divisor.
+Division is guarded because ANSI mode raises on a zero divisor. Expressions are
+SQL text: Python then hands over one string per feature instead of one call per
+operator, and Catalyst sees the same tree.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,70 +15,47 @@ from pyspark.sql import functions as F
 from floodlens.schemas import PROTO_ICMP, PROTO_TCP, PROTO_UDP
 
 
-def _double(name: str) -> Column:
-    return F.col(name).cast("double")
-
-
-def protocol_class(proto: Column | str = "proto") -> Column:
+def protocol_class(proto: str = "proto") -> Column:
     """'tcp', 'udp', 'icmp' or 'other' for an IP protocol number."""
-    p = F.col(proto) if isinstance(proto, str) else proto
-    return (
-        F.when(p == PROTO_TCP, "tcp").when(p == PROTO_UDP, "udp").when(p == PROTO_ICMP, "icmp").otherwise("other")
-    )
-
-
-def syn_ack_ratio() -> Column:
-    """SYN per ACK; with no ACK at all, the SYN count itself."""
-    return F.when(F.col("ack_count") > 0, _double("syn_count") / _double("ack_count")).otherwise(
-        _double("syn_count")
+    return F.expr(
+        f"CASE {proto} WHEN {PROTO_TCP} THEN 'tcp' WHEN {PROTO_UDP} THEN 'udp'"
+        f" WHEN {PROTO_ICMP} THEN 'icmp' ELSE 'other' END"
     )
 
 
-def pkt_size_mean() -> Column:
-    return F.when(F.col("pkt_count") > 0, _double("byte_count") / _double("pkt_count")).otherwise(F.lit(0.0))
-
-
-def pkt_size_var() -> Column:
-    """Population variance from sums; rounding below zero is clamped."""
-    mean = _double("byte_count") / _double("pkt_count")
-    spread = _double("pkt_size_sum_sq") / _double("pkt_count") - mean * mean
-    return F.when(F.col("pkt_count") > 1, F.greatest(spread, F.lit(0.0))).otherwise(F.lit(0.0))
-
-
-def flow_duration() -> Column:
-    """Seconds between the first and the last packet."""
-    span = F.unix_micros("last_seen") - F.unix_micros("first_seen")
-    return F.when(span > 0, span.cast("double") / F.lit(1e6)).otherwise(F.lit(0.0))
-
-
-def entropy_bits(counts: list[Column]) -> Column:
+def entropy_sql(counts: Sequence[str]) -> str:
     """Shannon entropy in bits of a set of counts; empty counts add nothing."""
-    total = reduce(lambda a, b: a + b, [c.cast("double") for c in counts])
-
-    def term(count: Column) -> Column:
-        p = count.cast("double") / total
-        return F.when(count > 0, p * F.log2(p)).otherwise(F.lit(0.0))
-
-    sum_of_terms = reduce(lambda a, b: a + b, [term(c) for c in counts])
-    return F.when(total > 0, F.lit(0.0) - sum_of_terms).otherwise(F.lit(0.0))
-
-
-def proto_entropy() -> Column:
-    return entropy_bits([F.col(c) for c in ("tcp_count", "udp_count", "icmp_count", "other_proto")])
-
-
-def iat_mean() -> Column:
-    """Mean gap between packets in microseconds."""
-    return F.when(
-        F.col("pkt_count") > 1, _double("iat_sum_us") / (_double("pkt_count") - F.lit(1.0))
-    ).otherwise(F.lit(0.0))
-
+    total = "(" + " + ".join(f"double({c})" for c in counts) + ")"
+    terms = [f"CASE WHEN {c} > 0 THEN {c} / {total} * log2({c} / {total}) ELSE 0D END" for c in counts]
+    return f"CASE WHEN {total} > 0 THEN 0D - ({' + '.join(terms)}) ELSE 0D END"
+
+
+# SYN per ACK; with no ACK at all, the SYN count itself.
+_RATIO = "CASE WHEN ack_count > 0 THEN double(syn_count) / ack_count ELSE double(syn_count) END"
+_MEAN = "CASE WHEN pkt_count > 0 THEN double(byte_count) / pkt_count ELSE 0D END"
+# Population variance from sums; a result below zero is rounding.
+_VARIANCE = (
+    "CASE WHEN pkt_count > 1 THEN greatest(double(pkt_size_sum_sq) / pkt_count"
+    " - (double(byte_count) / pkt_count) * (double(byte_count) / pkt_count), 0D) ELSE 0D END"
+)
+# Seconds between the first and the last packet.
+_DURATION = (
+    "CASE WHEN last_seen > first_seen"
+    " THEN double(unix_micros(last_seen) - unix_micros(first_seen)) / 1000000D ELSE 0D END"
+)
+# Mean gap between packets in microseconds.
+_GAP = "CASE WHEN pkt_count > 1 THEN double(iat_sum_us) / (pkt_count - 1) ELSE 0D END"
 
 DERIVED = {
-    "syn_ack_ratio": syn_ack_ratio,
-    "pkt_size_mean": pkt_size_mean,
-    "pkt_size_var": pkt_size_var,
-    "flow_duration": flow_duration,
-    "proto_entropy": proto_entropy,
-    "iat_mean": iat_mean,
+    "syn_ack_ratio": _RATIO,
+    "pkt_size_mean": _MEAN,
+    "pkt_size_var": _VARIANCE,
+    "flow_duration": _DURATION,
+    "proto_entropy": entropy_sql(["tcp_count", "udp_count", "icmp_count", "other_proto"]),
+    "iat_mean": _GAP,
 }
+
+
+def derived(name: str) -> Column:
+    """One derived feature over counter columns, under its own name."""
+    return F.expr(DERIVED[name]).alias(name)

@@ -21,11 +21,10 @@ def classify_protocol(packets: DataFrame) -> DataFrame:
     A packet with both flags set counts in both.
     """
     require(packets, ["proto", "tcp_syn", "tcp_ack"])
-    is_tcp = F.col("proto_class") == "tcp"
-    return (
-        packets.withColumn("proto_class", protocol_class("proto"))
-        .withColumn("is_syn", is_tcp & F.coalesce("tcp_syn", F.lit(False)))
-        .withColumn("is_ack", is_tcp & F.coalesce("tcp_ack", F.lit(False)))
+    return packets.withColumn("proto_class", protocol_class("proto")).selectExpr(
+        "*",
+        "proto_class = 'tcp' AND coalesce(tcp_syn, false) AS is_syn",
+        "proto_class = 'tcp' AND coalesce(tcp_ack, false) AS is_ack",
     )
 
 
@@ -43,25 +42,21 @@ def counter_aggregates() -> list[Column]:
     The gaps between consecutive packets add up to last minus first arrival, so
     their sum needs no ordering.
     """
-    length = F.col("pkt_len")
-
-    def count_if(cond: Column) -> Column:
-        return F.sum(F.when(cond, 1).otherwise(0).cast("long"))
-
-    return [
-        F.count(F.lit(1)).alias("pkt_count"),
-        F.sum(length).alias("byte_count"),
-        count_if(F.col("is_syn")).alias("syn_count"),
-        count_if(F.col("is_ack")).alias("ack_count"),
-        count_if(F.col("proto_class") == "udp").alias("udp_count"),
-        count_if(F.col("proto_class") == "icmp").alias("icmp_count"),
-        count_if(F.col("proto_class") == "tcp").alias("tcp_count"),
-        count_if(F.col("proto_class") == "other").alias("other_proto"),
-        F.sum(length * length).alias("pkt_size_sum_sq"),
-        F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"),
-        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("iat_sum_us"),
-    ]
+    sums = {
+        "pkt_count": "count(1)",
+        "byte_count": "sum(pkt_len)",
+        "syn_count": "count_if(is_syn)",
+        "ack_count": "count_if(is_ack)",
+        "udp_count": "count_if(proto_class = 'udp')",
+        "icmp_count": "count_if(proto_class = 'icmp')",
+        "tcp_count": "count_if(proto_class = 'tcp')",
+        "other_proto": "count_if(proto_class = 'other')",
+        "pkt_size_sum_sq": "sum(pkt_len * pkt_len)",
+        "first_seen": "min(ts)",
+        "last_seen": "max(ts)",
+        "iat_sum_us": "unix_micros(max(ts)) - unix_micros(min(ts))",
+    }
+    return [F.expr(sql).alias(name) for name, sql in sums.items()]
 
 
 def _count(packets: DataFrame, keys: Sequence[str | Column], by_cpu: bool) -> DataFrame:

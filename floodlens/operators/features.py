@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from floodlens.functions.traffic import DERIVED
 from floodlens.schemas import FEATURES, require
@@ -15,9 +14,7 @@ def feature_vector(counters: DataFrame) -> DataFrame:
     """Identity columns plus ten DOUBLE features; all zero without packets."""
     require(counters, _NEEDED)
     identity = [c for c in ("src_ip", "window_start", "window_end") if c in counters.columns]
-
-    def feature(name: str):
-        value = DERIVED[name]() if name in DERIVED else F.col(name).cast("double")
-        return F.when(F.col("pkt_count") > 0, value).otherwise(F.lit(0.0)).alias(name)
-
-    return counters.select(*identity, *[feature(f) for f in FEATURES])
+    values = {f: DERIVED.get(f, f"double({f})") for f in FEATURES}
+    return counters.selectExpr(
+        *identity, *[f"CASE WHEN pkt_count > 0 THEN {v} ELSE 0D END AS {f}" for f, v in values.items()]
+    )

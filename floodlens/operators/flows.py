@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floodlens.functions.traffic import entropy_bits
+from floodlens.functions.traffic import entropy_sql
 from floodlens.operators.detect import class_of
 from floodlens.operators.ordered import exact_quantiles
 from floodlens.schemas import BENIGN, FLOW_FEATURES, LABEL, require
 
 
-def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def concat_flows(*tables: DataFrame) -> DataFrame:
     """All rows of all tables, columns matched by name."""
     return reduce(lambda a, b: a.unionByName(b), tables)
@@ -31,12 +26,13 @@ def clean_flows(flows: DataFrame, dedup: bool = True) -> DataFrame:
     Copies collapse inside each task before the shuffle, so a row repeated a
     billion times costs one row per task.
     """
-    usable = F.lit(True)
+    checks = []
     for field in flows.schema.fields:
-        column = _c(field.name)
-        usable &= column.isNotNull()
+        name = f"`{field.name}`"
+        checks.append(f"{name} IS NOT NULL")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            usable &= ~F.isnan(column) & (F.abs(column) != F.lit(float("inf")))
+            checks.append(f"NOT isnan({name}) AND abs({name}) <> double('Infinity')")
+    usable = " AND ".join(checks)
     kept = flows.where(usable)
     return kept.dropDuplicates() if dedup else kept
 
@@ -65,22 +61,24 @@ def flow_features(flows: DataFrame) -> DataFrame:
     Without ACKs the ratio is the SYN count; the entropy is 0 when one direction
     (or both) is silent or a count is missing.
     """
-    needed = ["SYN Flag Count", "ACK Flag Count", "Total Fwd Packets", "Total Backward Packets"]
-    require(flows, needed)
-    syn, ack, fwd, bwd = (_c(n).cast("double") for n in needed)
-    ratio = syn / F.when(ack == 0, F.lit(1.0)).otherwise(ack)
-    return flows.withColumn("SYN_ACK_Ratio", ratio).withColumn(
-        "Proto_Entropy", F.coalesce(entropy_bits([fwd, bwd]), F.lit(0.0))
+    require(flows, ["SYN Flag Count", "ACK Flag Count", "Total Fwd Packets", "Total Backward Packets"])
+    acks = "CASE WHEN `ACK Flag Count` = 0 THEN 1 ELSE `ACK Flag Count` END"
+    directions = entropy_sql(["`Total Fwd Packets`", "`Total Backward Packets`"])
+    return flows.withColumns(
+        {
+            "SYN_ACK_Ratio": F.expr(f"double(`SYN Flag Count`) / {acks}"),
+            "Proto_Entropy": F.expr(f"coalesce({directions}, 0D)"),
+        }
     )
 
 
 def select_features(flows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The ten inputs in model order and the 0/1 label; ``keep`` adds key columns."""
     require(flows, [*FLOW_FEATURES, LABEL])
-    return flows.select(
-        *keep,
-        *[_c(f).cast("double").alias(f) for f in FLOW_FEATURES],
-        (F.col(LABEL) != BENIGN).cast("int").alias("label"),
+    return flows.selectExpr(
+        *[f"`{k}`" for k in keep],
+        *[f"double(`{f}`) AS `{f}`" for f in FLOW_FEATURES],
+        f"CAST({LABEL} <> '{BENIGN}' AS INT) AS label",
     )
 
 
@@ -94,8 +92,8 @@ def class_distribution(df: DataFrame, column: str = LABEL) -> DataFrame:
 
 
 def _long(df: DataFrame, features: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    typed = df.select(*ids, *[_c(f).cast("double").alias(f) for f in features])
-    return typed.unpivot([*ids], [_c(f) for f in features], "feature", "value")
+    typed = df.selectExpr(*ids, *[f"double(`{f}`) AS `{f}`" for f in features])
+    return typed.unpivot([*ids], [f"`{f}`" for f in features], "feature", "value")
 
 
 _QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -119,24 +117,35 @@ def describe_features(df: DataFrame, features: Sequence[str] | None = None, digi
     )
 
 
+def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pearson coefficient per given pair: (a, b, r).
+
+    Two scans of the named columns: means first, then sums of centred products,
+    which is stable and keeps one number per pair. Rows with a missing value are
+    left out; a constant column has no coefficient.
+    """
+    names = sorted({n for pair in pairs for n in pair})
+    at = {n: i for i, n in enumerate(names)}
+    table = df.selectExpr(*[f"double(`{n}`) AS c{i}" for n, i in at.items()]).dropna()
+    means = table.selectExpr(*[f"avg(c{i}) AS c{i}" for i in at.values()]).first()  # one row
+    if means["c0"] is None:
+        return df.sparkSession.createDataFrame([(a, b, None) for a, b in pairs], "a STRING, b STRING, r DOUBLE")
+    centred = table.selectExpr(*[f"c{i} - double('{means[f'c{i}']!r}') AS c{i}" for i in at.values()])
+    products = sorted({tuple(sorted((at[a], at[b]))) for a, b in pairs} | {(i, i) for i in at.values()})
+    sums = centred.selectExpr(*[f"sum(c{i} * c{j}) AS s_{i}_{j}" for i, j in products])
+
+    def row(a: str, b: str) -> str:
+        i, j = sorted((at[a], at[b]))
+        scale = f"sqrt(s_{i}_{i}) * sqrt(s_{j}_{j})"
+        return f"struct('{a}' AS a, '{b}' AS b, CASE WHEN {scale} > 0 THEN s_{i}_{j} / ({scale}) END AS r)"
+
+    return sums.selectExpr(f"inline(array({', '.join(row(a, b) for a, b in pairs)}))")
+
+
 def correlation_matrix(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
-    """Pearson coefficient per pair (both orders), from one aggregate over one scan."""
+    """Coefficients of all pairs of features, in both orders."""
     chosen = list(features) if features is not None else available(df)
-    pairs = list(combinations_with_replacement(range(len(chosen)), 2))
-    cells = df.agg(
-        *[
-            F.corr(_c(chosen[i]).cast("double"), _c(chosen[j]).cast("double")).alias(f"r_{i}_{j}")
-            for i, j in pairs
-        ]
-    )
-    rows = F.array(
-        *[
-            F.struct(F.lit(chosen[a]).alias("a"), F.lit(chosen[b]).alias("b"), F.col(f"r_{i}_{j}").alias("r"))
-            for i, j in pairs
-            for a, b in ({(i, j), (j, i)})
-        ]
-    )
-    return cells.select(F.inline(rows))
+    return correlations(df, [(a, b) for a in chosen for b in chosen])
 
 
 def box_stats(df: DataFrame, features: Sequence[str] | None = None, reach: float = 1.5) -> DataFrame:
@@ -179,25 +188,19 @@ def box_stats(df: DataFrame, features: Sequence[str] | None = None, reach: float
 
 def fit_minmax(train: DataFrame, features: Sequence[str] = FLOW_FEATURES) -> DataFrame:
     """Scaler table with one row per feature; a constant feature gets scale 1."""
-    extremes = train.agg(
-        *[F.min(_c(f)).cast("double").alias(f"lo_{i}") for i, f in enumerate(features)],
-        *[F.max(_c(f)).cast("double").alias(f"hi_{i}") for i, f in enumerate(features)],
+    extremes = train.selectExpr(
+        *[f"double(min(`{f}`)) AS lo_{i}" for i, f in enumerate(features)],
+        *[f"double(max(`{f}`)) AS hi_{i}" for i, f in enumerate(features)],
     )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("feature"), F.col(f"lo_{i}").alias("min"), F.col(f"hi_{i}").alias("max")
-            )
-            for i, f in enumerate(features)
-        ]
+    rows = ", ".join(
+        f"struct('{f}' AS feature, lo_{i} AS min, hi_{i} AS max)" for i, f in enumerate(features)
     )
-    span = F.col("max") - F.col("min")
-    return extremes.select(F.inline(rows)).select(
+    return extremes.selectExpr(f"inline(array({rows}))").selectExpr(
         "feature",
         "min",
         "max",
-        span.alias("data_range"),
-        (F.lit(1.0) / F.when(span == 0, F.lit(1.0)).otherwise(span)).alias("scale"),
+        "max - min AS data_range",
+        "1D / CASE WHEN max = min THEN 1D ELSE max - min END AS scale",
     )
 
 
@@ -205,10 +208,10 @@ def apply_minmax(df: DataFrame, params: DataFrame) -> DataFrame:
     """(x - min) * scale with the fitted values as literals; nothing is clipped."""
     fitted = {r["feature"]: r for r in params.collect()}  # one row per feature
 
-    def scaled(name: str) -> Column:
+    def scaled(name: str) -> str:
         if name not in fitted:
-            return _c(name)
+            return f"`{name}`"
         p = fitted[name]
-        return ((_c(name).cast("double") - F.lit(p["min"])) * F.lit(p["scale"])).alias(name)
+        return f"(double(`{name}`) - double('{p['min']!r}')) * double('{p['scale']!r}') AS `{name}`"
 
-    return df.select(*[scaled(c) for c in df.columns])
+    return df.selectExpr(*[scaled(c) for c in df.columns])

@@ -2,50 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodlens.operators.ordered import cut_points, exact_quantiles, running_totals, slice_of
 
-_CELLS = ("tn", "fp", "fn", "tp")
+# Numerator and denominator of each class's scores over the four counts.
+_SCORES = {
+    0: {"precision": ("tn", "tn + fn"), "recall": ("tn", "tn + fp"), "f1": ("2 * tn", "2 * tn + fn + fp")},
+    1: {"precision": ("tp", "tp + fp"), "recall": ("tp", "tp + fn"), "f1": ("2 * tp", "2 * tp + fp + fn")},
+}
+_SUPPORT = {0: "tn + fp", 1: "tp + fn"}
+_ALL = "tn + fp + fn + tp"
 
 
 def _cells(pred: DataFrame, label: str, prediction: str) -> DataFrame:
     """The four counts as one row, zeros included."""
-    truth, guess = F.col(label).cast("int"), F.col(prediction).cast("int")
-
-    def cell(t: int, g: int) -> Column:
-        return F.coalesce(F.sum(F.when((truth == t) & (guess == g), 1).otherwise(0).cast("long")), F.lit(0))
-
-    return pred.agg(cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp"))
+    cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    return pred.selectExpr(
+        *[f"count_if({label} = {t} AND {prediction} = {g}) AS {name}" for name, (t, g) in cells.items()]
+    )
 
 
-def _ratio(top: Column, bottom: Column) -> Column:
+def _ratio(top: str, bottom: str) -> str:
     """Division with 0 for an empty denominator."""
-    return F.when(bottom > 0, top.cast("double") / bottom.cast("double")).otherwise(F.lit(0.0))
+    return f"CASE WHEN {bottom} > 0 THEN double({top}) / ({bottom}) ELSE 0D END"
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(label, prediction, count); all four cells are always there."""
-    rows = [
-        F.struct(F.lit(t).alias("label"), F.lit(g).alias("prediction"), F.col(_CELLS[2 * t + g]).alias("count"))
-        for t in (0, 1)
-        for g in (0, 1)
-    ]
-    return _cells(pred, label, prediction).select(F.inline(F.array(*rows)))
+    return _cells(pred, label, prediction).selectExpr(
+        "stack(4, 0, 0, tn, 0, 1, fp, 1, 0, fn, 1, 1, tp) AS (label, prediction, count)"
+    )
 
 
 def binary_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy, precision, recall, F1 of class 1, and the false positive rate."""
-    tn, fp, fn, tp = (F.col(c) for c in _CELLS)
-    precision, recall = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
-    return _cells(pred, label, prediction).select(
-        F.round(_ratio(tp + tn, tp + tn + fp + fn), 4).alias("accuracy"),
-        F.round(precision, 4).alias("precision"),
-        F.round(recall, 4).alias("recall"),
-        # The same as 2PR/(P+R), in one division of whole numbers.
-        F.round(_ratio(2 * tp, 2 * tp + fp + fn), 4).alias("f1"),
-        F.round(_ratio(fp, fp + tn), 6).alias("fpr"),
+    return _cells(pred, label, prediction).selectExpr(
+        f"round({_ratio('tp + tn', _ALL)}, 4) AS accuracy",
+        *[f"round({_ratio(*parts)}, 4) AS {name}" for name, parts in _SCORES[1].items()],
+        f"round({_ratio('fp', 'fp + tn')}, 6) AS fpr",
     )
 
 
@@ -56,41 +52,24 @@ def classification_report(
     names: tuple[str, str] = ("Benign", "Attack"),
 ) -> DataFrame:
     """Per class precision, recall, F1 and support, then the three averages."""
-    tn, fp, fn, tp = (F.col(c) for c in _CELLS)
-    classes = []
-    for hit, wrong, missed in ((tn, fn, fp), (tp, fp, fn)):
-        classes.append(
-            (_ratio(hit, hit + wrong), _ratio(hit, hit + missed), _ratio(2 * hit, 2 * hit + wrong + missed), hit + missed)
+    lines = [(names[c], [_ratio(*parts) for parts in _SCORES[c].values()], _SUPPORT[c]) for c in (0, 1)]
+    benign, attack = lines[0][1], lines[1][1]
+    lines.append(("accuracy", [_ratio("tn + tp", _ALL)] * 3, _ALL))
+    lines.append(("macro avg", [f"(({b}) + ({a})) / 2D" for b, a in zip(benign, attack)], _ALL))
+    lines.append(
+        (
+            "weighted avg",
+            [_ratio(f"({b}) * ({_SUPPORT[0]}) + ({a}) * ({_SUPPORT[1]})", _ALL) for b, a in zip(benign, attack)],
+            _ALL,
         )
-    support = classes[0][3] + classes[1][3]
-    accuracy = _ratio(tn + tp, support)
-
-    def macro(i: int) -> Column:
-        return (classes[0][i] + classes[1][i]) / F.lit(2.0)
-
-    def weighted(i: int) -> Column:
-        total = classes[0][i] * classes[0][3].cast("double") + classes[1][i] * classes[1][3].cast("double")
-        return F.when(support > 0, total / support.cast("double")).otherwise(F.lit(0.0))
-
-    lines = [
-        (names[0], classes[0][:3]),
-        (names[1], classes[1][:3]),
-        ("accuracy", (accuracy, accuracy, accuracy)),
-        ("macro avg", tuple(macro(i) for i in range(3))),
-        ("weighted avg", tuple(weighted(i) for i in range(3))),
-    ]
-    supports = [classes[0][3], classes[1][3], support, support, support]
-    rows = [
-        F.struct(
-            F.lit(name).alias("class"),
-            F.round(p, 4).alias("precision"),
-            F.round(r, 4).alias("recall"),
-            F.round(f1, 4).alias("f1"),
-            s.alias("support"),
-        )
-        for (name, (p, r, f1)), s in zip(lines, supports)
-    ]
-    return _cells(pred, label, prediction).select(F.inline(F.array(*rows)))
+    )
+    rows = ", ".join(
+        f"'{name}', {', '.join(f'round({score}, 4)' for score in scores)}, {support}"
+        for name, scores, support in lines
+    )
+    return _cells(pred, label, prediction).selectExpr(
+        f"stack({len(lines)}, {rows}) AS (class, precision, recall, f1, support)"
+    )
 
 
 def latency_summary(df: DataFrame, column: str, target: float = 50.0) -> DataFrame:
@@ -162,7 +141,7 @@ def _cumulative(pred: DataFrame, label: str, score: str, digits: int | None, sli
         )
     )
     cuts = cut_points(pred.select(F.col(score).cast("double").alias(score)), score, slices)
-    sliced = per_score.withColumn("_slice", F.lit(len(cuts)) - slice_of(F.col("score"), cuts))
+    sliced = per_score.withColumn("_slice", F.lit(len(cuts)) - slice_of("score", cuts))
     return running_totals(
         sliced, "_slice", [F.desc("score")], {"pos": "tp", "neg": "fp"}, {"pos": "_p", "neg": "_n"}
     ).drop("_slice")
@@ -177,8 +156,8 @@ def roc_curve(
     """
     points = _cumulative(pred, label, score, digits, slices).select(
         F.col("score").alias("threshold"),
-        _ratio(F.col("fp"), F.col("_n")).alias("fpr"),
-        _ratio(F.col("tp"), F.col("_p")).alias("tpr"),
+        F.expr(_ratio("fp", "_n")).alias("fpr"),
+        F.expr(_ratio("tp", "_p")).alias("tpr"),
     )
     return points.unionByName(_start(pred, {"fpr": 0.0, "tpr": 0.0}))
 
@@ -189,8 +168,8 @@ def pr_curve(
     """(threshold, precision, recall) at every distinct score and at recall 0."""
     points = _cumulative(pred, label, score, digits, slices).select(
         F.col("score").alias("threshold"),
-        _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        _ratio(F.col("tp"), F.col("_p")).alias("recall"),
+        F.expr(_ratio("tp", "tp + fp")).alias("precision"),
+        F.expr(_ratio("tp", "_p")).alias("recall"),
     )
     return points.unionByName(_start(pred, {"precision": 1.0, "recall": 0.0}))
 

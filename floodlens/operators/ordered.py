@@ -81,12 +81,12 @@ def cut_points(df: DataFrame, column: str, pieces: int) -> list[float]:
     return sorted(set(df.approxQuantile(column, probs, 0.25 / pieces)))
 
 
-def slice_of(value: Column, cuts: Sequence[float]) -> Column:
+def slice_of(value: str, cuts: Sequence[float]) -> Column:
     """How many cut points lie below the value; rises with the value."""
     if not cuts:
         return F.lit(0)
-    points = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.size(F.filter(points, lambda c: c < value))
+    points = ", ".join(f"{float(c)!r}D" for c in cuts)
+    return F.expr(f"size(filter(array({points}), c -> c < {value}))")
 
 
 def select_ranks(
@@ -100,7 +100,8 @@ def select_ranks(
 
     ``ranks`` turns a column with the group size into (tag, 0-based rank) pairs.
     ``near`` lists the probabilities around which those ranks are expected. The
-    result has one row per group and tag: (groups..., tag, value).
+    result has one row per group and tag: (groups..., tag, value, total), with total the
+    group size.
 
     Narrow value slots are cut around the expected positions, counted in one
     pass, and only the slots that hold a wanted rank are grouped by value and
@@ -110,23 +111,22 @@ def select_ranks(
     data = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     margin = 0.002
     probs = sorted({min(max(p + d, 0.0), 1.0) for p in near for d in (-margin, margin)})
-    cuts_type = "array<double>"
-    if groups:
-        cuts_rows = data.groupBy(*groups).agg(F.percentile_approx("_v", probs, 5000).alias("_cuts"))
-        cuts = df.sparkSession.createDataFrame(cuts_rows.collect(), cuts_rows.schema)
-        slotted = data.join(F.broadcast(cuts), list(groups))
-    else:
-        found = data.agg(F.percentile_approx("_v", probs, 5000).alias("_cuts")).first()["_cuts"]
-        slotted = data.withColumn("_cuts", F.array(*[F.lit(c) for c in found or []]).cast(cuts_type))
-    slotted = slotted.select(
-        *groups, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_slot")
+    cuts_rows = data.groupBy(*groups).agg(F.percentile_approx("_v", probs, 1000).alias("_cuts"))
+    cuts = df.sparkSession.createDataFrame(cuts_rows.collect(), cuts_rows.schema).select(
+        *groups, *[F.expr(f"_cuts[{i}]").alias(f"_c{i}") for i in range(len(probs))]
     )
+    # Without groups this is one row under a constant key.
+    keys = list(groups) or ["_all"]
+    if not groups:
+        data, cuts = data.withColumn("_all", F.lit(0)), cuts.withColumn("_all", F.lit(0))
+    slot = F.expr(" + ".join(f"CAST(_c{i} < _v AS INT)" for i in range(len(probs))))
+    slotted = data.join(F.broadcast(cuts), keys).select(*keys, "_v", slot.alias("_slot"))
 
     # One row per group and slot: at most len(probs) + 1 per group.
-    whole = Window.partitionBy(*groups)
+    whole = Window.partitionBy(*keys)
     before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = (
-        slotted.groupBy(*groups, "_slot")
+        slotted.groupBy(*keys, "_slot")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_n").over(whole))
@@ -140,21 +140,21 @@ def select_ranks(
     here = F.filter(
         wanted, lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_n"))
     )
-    targets = slots.select(*groups, "_slot", "_before", here.alias("_here")).where(F.size("_here") > 0)
+    targets = slots.select(*keys, "_slot", "_before", "_total", here.alias("_here")).where(F.size("_here") > 0)
 
     inside = (
-        Window.partitionBy(*groups, "_slot")
+        Window.partitionBy(*keys, "_slot")
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        slotted.join(F.broadcast(targets), [*groups, "_slot"])
-        .groupBy(*groups, "_slot", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_here").alias("_here"))
+        slotted.join(F.broadcast(targets), [*keys, "_slot"])
+        .groupBy(*keys, "_slot", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_before", "_total", "_here")])
         .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
         .withColumn("_hit", F.explode("_here"))
         .where((F.col("_hit.rank") < F.col("_upto")) & (F.col("_hit.rank") >= F.col("_upto") - F.col("_n")))
-        .select(*groups, F.col("_hit.tag").alias("tag"), F.col("_v").alias("value"))
+        .select(*groups, F.col("_hit.tag").alias("tag"), F.col("_v").alias("value"), F.col("_total").alias("total"))
     )
 
 
@@ -168,21 +168,10 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dic
             pairs += [(f"{name}:lo", F.floor(place)), (f"{name}:hi", F.ceil(place))]
         return pairs
 
-    found = select_ranks(df, groups, value, ranks, list(probs.values()))
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_total"))
-    tags = [f"{name}:{side}" for name in probs for side in ("lo", "hi")]
-    wide = found.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("tag") == tag, F.col("value"))).alias(tag) for tag in tags]
-    )
-
     def interpolate(name: str, p: float) -> Column:
-        place = F.lit(p) * (F.col("_total") - 1).cast("double")
-        low, high = F.col(f"`{name}:lo`"), F.col(f"`{name}:hi`")
+        low, high = (F.max(F.when(F.col("tag") == f"{name}:{side}", F.col("value"))) for side in ("lo", "hi"))
+        place = F.lit(p) * (F.max("total") - 1).cast("double")
         return (low + (high - low) * (place - F.floor(place).cast("double"))).alias(name)
 
-    if groups:
-        joined = wide.join(F.broadcast(sizes), list(groups))
-    else:
-        # Both sides are single rows; the constant key makes it an equality join.
-        joined = wide.withColumn("_one", F.lit(1)).join(F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one")
-    return joined.select(*groups, *[interpolate(name, p) for name, p in probs.items()])
+    found = select_ranks(df, groups, value, ranks, list(probs.values()))
+    return found.groupBy(*groups).agg(*[interpolate(name, p) for name, p in probs.items()])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from floodlens.functions import text
 from floodlens.functions.network import int_to_ip, ip_to_int
-from floodlens.functions.traffic import DERIVED
+from floodlens.functions.traffic import DERIVED, derived
 from floodlens.operators import blacklist as bl
 from floodlens.operators import counters as ct
 from floodlens.operators import detect, features, flows, metrics, models, scoring, sketch, split, telemetry
@@ -43,12 +43,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def us(name: str, alias: str | None = None) -> Column:
-    return F.unix_micros(name).alias(alias or name)
+def us(name: str) -> Column:
+    return F.unix_micros(name).alias(name)
 
 
 def rounded(names, digits: int = 6) -> list[Column]:
-    return [F.round(F.col(f"`{n}`"), digits).alias(n) for n in names]
+    return [F.expr(f"round(`{n}`, {digits}) AS `{n}`") for n in names]
 
 
 def _day_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,14 +120,16 @@ def read_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def decode_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packet_files.decode_frames(views.frames(spark, sf_dir)).select(
+    captured = materialize(views.frames(spark, sf_dir), "frames")
+    return packet_files.decode_frames(captured).select(
         "event_id", "src_ip", us("ts"), "proto", "tcp_syn", "tcp_ack", "pkt_len"
     )
 
 
 @query
 def valid_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packet_files.valid_ipv4(views.frames(spark, sf_dir)).select(
+    captured = materialize(views.frames(spark, sf_dir), "frames")
+    return packet_files.valid_ipv4(captured).select(
         "event_id", F.length("frame").alias("size")
     )
 
@@ -205,7 +207,7 @@ def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _one_feature(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         counted = _day_counters(spark, sf_dir)
-        return counted.select("src_ip", us("window_start"), F.round(DERIVED[name](), 6).alias(name))
+        return counted.select("src_ip", us("window_start"), F.round(derived(name), 6).alias(name))
 
     return run
 
@@ -261,19 +263,17 @@ def webhook_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def int_to_ip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Spread the users over the address space so that all four bytes vary.
-    address = (F.col("src_ip") * F.lit(2654435761)) % F.lit(4294967296)
-    return views.packets(spark, sf_dir).select(
-        us("ts"),
-        address.alias("address"),
-        int_to_ip(address).alias("text"),
-        ip_to_int(int_to_ip(address)).alias("back"),
+    spread = views.packets(spark, sf_dir).selectExpr("ts", "(src_ip * 2654435761) % 4294967296 AS address")
+    return spread.withColumn("text", int_to_ip("address")).select(
+        us("ts"), "address", "text", ip_to_int("text").alias("back")
     )
 
 
 @query
 def ip_to_int_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = F.when(F.col("proto") == 1, F.concat(int_to_ip("src_ip"), F.lit(".9"))).otherwise(int_to_ip("src_ip"))
-    return views.packets(spark, sf_dir).select(us("ts"), mixed.alias("text"), ip_to_int(mixed).alias("value"))
+    dotted = views.packets(spark, sf_dir).withColumn("text", int_to_ip("src_ip"))
+    mixed = dotted.withColumn("text", F.expr("CASE WHEN proto = 1 THEN text || '.9' ELSE text END"))
+    return mixed.select(us("ts"), "text", ip_to_int("text").alias("value"))
 
 
 # --- flow expressions ---------------------------------------------------------
@@ -633,10 +633,8 @@ def rank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strength of each feature's correlation with the label."""
     table = _flow_table(spark, sf_dir)
-    pairs = flows.correlation_matrix(table, [*FLOW_FEATURES, "label"])
-    strength = pairs.where("b = 'label' AND a <> 'label'").select(
-        F.col("a").alias("feature"), F.round(F.abs("r"), 6).alias("importance")
-    )
+    pairs = flows.correlations(table, [(f, "label") for f in FLOW_FEATURES])
+    strength = pairs.select(F.col("a").alias("feature"), F.round(F.abs("r"), 6).alias("importance"))
     return models.rank_importance(strength)
 
 

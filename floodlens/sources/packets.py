@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floodlens.functions.network import unsigned
+from floodlens.functions.network import unsigned_sql
 from floodlens.schemas import ETHERTYPE_IPV4, PACKETS, PROTO_ICMP, PROTO_TCP, PROTO_UDP
 
 # --- fixed values: Ethernet, IPv4 and transport header layout (bytes) ---------
@@ -32,14 +31,24 @@ def read_packets(
     return reader.schema(schema).options(**options).parquet(path)
 
 
-def _with_offsets(df: DataFrame, frame: str) -> DataFrame:
-    raw = F.col(frame)
+def _probe(df: DataFrame, frame: str) -> DataFrame:
+    """Countable frames with their size, protocol and transport header offset."""
     # Low half of the first IP byte counts the header length in 4-byte words.
-    words = unsigned(raw, ETH_HEADER).bitwiseAND(F.lit(15))
+    words = f"({unsigned_sql(frame, ETH_HEADER)} & 15)"
+    needed = (
+        f"CASE _proto WHEN {PROTO_TCP} THEN {TCP_HEADER} WHEN {PROTO_UDP} THEN {UDP_HEADER}"
+        f" WHEN {PROTO_ICMP} THEN {ICMP_HEADER} END"
+    )
     return (
-        df.withColumn("_size", F.length(raw).cast("long"))
-        .withColumn("_proto", unsigned(raw, IP_PROTOCOL_AT).cast("int"))
-        .withColumn("_l4", (F.lit(ETH_HEADER) + words * 4).cast("int"))
+        df.where(f"length({frame}) >= {ETH_HEADER + IP_HEADER}")
+        .where(f"{unsigned_sql(frame, ETHERTYPE_AT, 2)} = {ETHERTYPE_IPV4}")
+        .selectExpr(
+            *df.columns,
+            f"CAST(length({frame}) AS BIGINT) AS _size",
+            f"CAST({unsigned_sql(frame, IP_PROTOCOL_AT)} AS INT) AS _proto",
+            f"CAST({ETH_HEADER} + {words} * 4 AS INT) AS _l4",
+        )
+        .where(f"coalesce(_size >= _l4 + {needed}, true)")
     )
 
 
@@ -49,20 +58,7 @@ def valid_ipv4(df: DataFrame, frame: str = "frame") -> DataFrame:
     Everything else passes through the network uncounted. Protocols other than
     TCP, UDP and ICMP need no transport header.
     """
-    raw = F.col(frame)
-    probe = _with_offsets(df, frame)
-    needed = (
-        F.when(F.col("_proto") == PROTO_TCP, TCP_HEADER)
-        .when(F.col("_proto") == PROTO_UDP, UDP_HEADER)
-        .when(F.col("_proto") == PROTO_ICMP, ICMP_HEADER)
-    )
-    complete = F.when(needed.isNull(), True).otherwise(F.col("_size") >= F.col("_l4") + needed)
-    return (
-        probe.where(F.col("_size") >= ETH_HEADER + IP_HEADER)
-        .where(unsigned(raw, ETHERTYPE_AT, 2) == ETHERTYPE_IPV4)
-        .where(complete)
-        .drop("_size", "_proto", "_l4")
-    )
+    return _probe(df, frame).select(*df.columns)
 
 
 def decode_frames(df: DataFrame, frame: str = "frame", ts: str = "ts") -> DataFrame:
@@ -71,17 +67,14 @@ def decode_frames(df: DataFrame, frame: str = "frame", ts: str = "ts") -> DataFr
     Frames that cannot be counted are dropped; other columns are kept. The packet
     length is the length of the whole frame, link header included.
     """
-    raw = F.col(frame)
     kept = [c for c in df.columns if c not in (frame, ts)]
-    flags = F.when(
-        F.col("_proto") == PROTO_TCP, unsigned(raw, F.col("_l4") + TCP_FLAGS_AT)
-    ).otherwise(F.lit(0))
-    return _with_offsets(valid_ipv4(df, frame), frame).select(
-        unsigned(raw, IP_SOURCE_AT, 4).alias("src_ip"),
-        F.col(ts).alias("ts"),
-        F.col("_proto").alias("proto"),
-        (flags.bitwiseAND(F.lit(TCP_SYN_BIT)) > 0).alias("tcp_syn"),
-        (flags.bitwiseAND(F.lit(TCP_ACK_BIT)) > 0).alias("tcp_ack"),
-        F.col("_size").alias("pkt_len"),
+    flags = unsigned_sql(frame, f"_l4 + {TCP_FLAGS_AT}")
+    return _probe(df, frame).selectExpr(
+        f"{unsigned_sql(frame, IP_SOURCE_AT, 4)} AS src_ip",
+        f"{ts} AS ts",
+        "_proto AS proto",
+        f"_proto = {PROTO_TCP} AND ({flags} & {TCP_SYN_BIT}) > 0 AS tcp_syn",
+        f"_proto = {PROTO_TCP} AND ({flags} & {TCP_ACK_BIT}) > 0 AS tcp_ack",
+        "_size AS pkt_len",
         *kept,
     )
