@@ -14,6 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Share of the rows that the cut points of select_ranks come from, and how far
+# around an expected position they are set.
+_SAMPLE = 0.02
+_MARGIN = 0.01
+
+
 def time_slice(ts: str, slice_us: int) -> Column:
     """Number of the fixed-width time slice that a timestamp falls into."""
     return F.expr(f"unix_micros({ts}) div {slice_us}")
@@ -103,24 +109,24 @@ def select_ranks(
     result has one row per group and tag: (groups..., tag, value, total), with total the
     group size.
 
-    Narrow value slots are cut around the expected positions, counted in one
-    pass, and only the slots that hold a wanted rank are grouped by value and
-    ordered. A wrong guess in ``near`` costs time and not exactness. The number of
-    groups must be small (features x classes): their cut points are collected.
+    Narrow value slots are cut around the expected positions, using approximate
+    quantiles of a sample. All rows are then counted per slot, and only the slots
+    that hold a wanted rank are grouped by value and ordered. Bad cuts cost time
+    and not exactness. The number of groups must be small (features x classes):
+    their cut points are collected.
     """
     data = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    margin = 0.002
-    probs = sorted({min(max(p + d, 0.0), 1.0) for p in near for d in (-margin, margin)})
-    cuts_rows = data.groupBy(*groups).agg(F.percentile_approx("_v", probs, 1000).alias("_cuts"))
-    cuts = df.sparkSession.createDataFrame(cuts_rows.collect(), cuts_rows.schema).select(
-        *groups, *[F.expr(f"_cuts[{i}]").alias(f"_c{i}") for i in range(len(probs))]
-    )
-    # Without groups this is one row under a constant key.
-    keys = list(groups) or ["_all"]
+    keys = list(groups)
     if not groups:
-        data, cuts = data.withColumn("_all", F.lit(0)), cuts.withColumn("_all", F.lit(0))
-    slot = F.expr(" + ".join(f"CAST(_c{i} < _v AS INT)" for i in range(len(probs))))
-    slotted = data.join(F.broadcast(cuts), keys).select(*keys, "_v", slot.alias("_slot"))
+        keys, data = ["_all"], data.withColumn("_all", F.lit(0))
+    probs = sorted({min(max(p + d, 0.0), 1.0) for p in near for d in (-_MARGIN, _MARGIN)})
+    found = data.sample(_SAMPLE, seed=11).groupBy(*keys).agg(F.percentile_approx("_v", probs, 1000).alias("_cuts"))
+    cuts = df.sparkSession.createDataFrame(found.collect(), found.schema).selectExpr(
+        *keys, *[f"_cuts[{i}] AS _c{i}" for i in range(len(probs))]
+    )
+    # A group too small for the sample has no cuts and stays in one slot.
+    slot = " + ".join(f"CAST(coalesce(_c{i} < _v, false) AS INT)" for i in range(len(probs)))
+    slotted = data.join(F.broadcast(cuts), keys, "left").selectExpr(*keys, "_v", f"{slot} AS _slot")
 
     # One row per group and slot: at most len(probs) + 1 per group.
     whole = Window.partitionBy(*keys)
@@ -129,32 +135,29 @@ def select_ranks(
         slotted.groupBy(*keys, "_slot")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_n").over(whole))
+        .withColumn("total", F.sum("_n").over(whole))
     )
     wanted = F.array(
-        *[
-            F.struct(F.lit(tag).alias("tag"), rank.cast("long").alias("rank"))
-            for tag, rank in ranks(F.col("_total"))
-        ]
+        *[F.struct(F.lit(tag).alias("tag"), rank.cast("long").alias("rank")) for tag, rank in ranks(F.col("total"))]
     )
-    here = F.filter(
-        wanted, lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_n"))
+    hits = (
+        slots.select(*keys, "_slot", "_before", "_n", "total", F.inline(wanted))
+        .where("rank >= _before AND rank < _before + _n")
+        .drop("_n")
     )
-    targets = slots.select(*keys, "_slot", "_before", "_total", here.alias("_here")).where(F.size("_here") > 0)
 
     inside = (
-        Window.partitionBy(*keys, "_slot")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # Both broadcasts are of at most groups x ranks rows.
     return (
-        slotted.join(F.broadcast(targets), [*keys, "_slot"])
+        slotted.join(F.broadcast(hits), [*keys, "_slot"], "left_semi")
         .groupBy(*keys, "_slot", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_before", "_total", "_here")])
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_hit", F.explode("_here"))
-        .where((F.col("_hit.rank") < F.col("_upto")) & (F.col("_hit.rank") >= F.col("_upto") - F.col("_n")))
-        .select(*groups, F.col("_hit.tag").alias("tag"), F.col("_v").alias("value"), F.col("_total").alias("total"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(inside))
+        .join(F.broadcast(hits), [*keys, "_slot"])
+        .where("rank - _before < _upto AND rank - _before >= _upto - _n")
+        .select(*groups, "tag", F.col("_v").alias("value"), "total")
     )
 
 

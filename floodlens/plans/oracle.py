@@ -466,7 +466,7 @@ ORACLES: dict[str, str] = {
                 least(min(value) FILTER (WHERE value >= lo), q25) AS whisker_low,
                 greatest(max(value) FILTER (WHERE value <= hi), q75) AS whisker_high,
                 count(*) FILTER (WHERE value < lo OR value > hi) AS outliers FROM f GROUP BY class, feature, q25, q50, q75)
-        SELECT class, feature, count, {_rounded(['q25', 'q50', 'q75', 'whisker_low', 'whisker_high'], 4)}, outliers FROM s""",
+        SELECT class, feature, count, {_rounded(['q25', 'q50', 'q75', 'whisker_low', 'whisker_high'], 8)}, outliers FROM s""",
     "confusion_matrix": f"""WITH {CELLS} SELECT 0 AS label, 0 AS prediction, tn AS count FROM cells
         UNION ALL SELECT 0, 1, fp FROM cells UNION ALL SELECT 1, 0, fn FROM cells UNION ALL SELECT 1, 1, tp FROM cells""",
     "binary_metrics": f"""WITH {CELLS} SELECT round({_div('tp + tn', 'tp + tn + fp + fn')}, 4) AS accuracy,

@@ -502,7 +502,7 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = flows.flow_features(views.flows(spark, sf_dir))
     return flows.box_stats(raw).select(
-        "class", "feature", "count", *rounded(["q25", "q50", "q75", "whisker_low", "whisker_high"], 4), "outliers"
+        "class", "feature", "count", *rounded(["q25", "q50", "q75", "whisker_low", "whisker_high"], 8), "outliers"
     )
 
 
