@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodlens.durations import to_interval, to_micros
@@ -36,8 +36,8 @@ def add_window(packets: DataFrame, window: str) -> DataFrame:
     )
 
 
-def counter_aggregates() -> list[Column]:
-    """Aggregates over classified packets.
+def counter_aggregates(names: Sequence[str] | None = None) -> list[Column]:
+    """Aggregates over classified packets, all or those named.
 
     The gaps between consecutive packets add up to last minus first arrival, so
     their sum needs no ordering.
@@ -56,7 +56,7 @@ def counter_aggregates() -> list[Column]:
         "last_seen": "max(ts)",
         "iat_sum_us": "unix_micros(max(ts)) - unix_micros(min(ts))",
     }
-    return [F.expr(sql).alias(name) for name, sql in sums.items()]
+    return [F.expr(sql).alias(name) for name, sql in sums.items() if names is None or name in names]
 
 
 def _count(packets: DataFrame, keys: Sequence[str | Column], by_cpu: bool) -> DataFrame:
@@ -67,17 +67,57 @@ def _count(packets: DataFrame, keys: Sequence[str | Column], by_cpu: bool) -> Da
     return classified.groupBy(*keys).agg(*counter_aggregates())
 
 
+def _count_with_squares(
+    packets: DataFrame, keys: Sequence[str], slice_us: int, by_cpu: bool
+) -> DataFrame:
+    """Counters plus the sum of squared gaps, from one scan.
+
+    Squared gaps need an order, unlike all other counters. Packets are first added
+    up per arrival instant, so copies do not matter; gaps are taken inside time
+    slices in parallel and between neighbouring slices, of which a group has few.
+    The sum is a DOUBLE: one gap of 4.3 s in ns squared already exceeds 64 bits.
+    """
+    inner = [*keys, *(["cpu"] if by_cpu else [])]
+    counts = [c for c in SUM_COUNTERS if c != "iat_sum_us"]
+    gap = "(unix_micros(ts) - unix_micros(_before))"
+    jump = "(unix_micros(first_seen) - unix_micros(_left))"
+    in_slice = Window.partitionBy(*inner, "_slice").orderBy("ts")
+    over_slices = Window.partitionBy(*inner).orderBy("_slice")
+    return (
+        classify_protocol(packets)
+        .groupBy(*inner, "ts")
+        .agg(*counter_aggregates(counts))
+        .withColumn("_slice", time_slice("ts", slice_us))
+        .withColumn("_before", F.lag("ts").over(in_slice))
+        .groupBy(*inner, "_slice")
+        .agg(
+            *[F.sum(c).alias(c) for c in counts],
+            F.expr(f"sum({gap})").alias("_gaps"),
+            F.expr(f"sum(double({gap}) * {gap})").alias("_squares"),
+            F.min("ts").alias("first_seen"),
+            F.max("ts").alias("last_seen"),
+        )
+        .withColumn("_left", F.lag("last_seen").over(over_slices))
+        .groupBy(*keys)
+        .agg(
+            *[F.sum(c).alias(c) for c in counts],
+            F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"),
+            F.expr(f"sum(coalesce(_gaps, 0) + coalesce({jump}, 0))").alias("iat_sum_us"),
+            F.expr(f"sum(coalesce(_squares, 0D) + coalesce(double({jump}) * {jump}, 0D))").alias("iat_sum_sq"),
+        )
+    )
+
+
 def source_counters(packets: DataFrame, by_cpu: bool = False, with_iat_sq: bool = False) -> DataFrame:
     """Counters per source over everything given.
 
     ``by_cpu`` measures gaps between packets seen by the same CPU and adds them
     up; the default measures true gaps per source.
     """
-    counted = _count(packets, ["src_ip"], by_cpu)
     if with_iat_sq:
-        squares = iat_squares(packets, ["src_ip"], "1 hour", by_cpu)
-        counted = counted.join(squares, ["src_ip"])
-    return counted
+        return _count_with_squares(packets, ["src_ip"], to_micros("1 hour"), by_cpu)
+    return _count(packets, ["src_ip"], by_cpu)
 
 
 def windowed_counters(
@@ -86,17 +126,20 @@ def windowed_counters(
     """Counters per source and tumbling window; gaps never cross a window border.
 
     Grouping is by the window struct itself, which keeps the event time of streams.
+    ``with_iat_sq`` adds the sum of squared gaps (batch only).
     """
+    if with_iat_sq:
+        return _count_with_squares(add_window(packets, window), WINDOW_KEYS, _slice_us(window), by_cpu)
     counted = _count(packets, ["src_ip", F.window("ts", to_interval(window)).alias("_w")], by_cpu)
     others = [c for c in counted.columns if c not in ("src_ip", "_w")]
-    counted = counted.select(
+    return counted.select(
         "src_ip", F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *others
     )
-    if with_iat_sq:
-        slices = max(to_micros(window) // 64, 1)
-        squares = iat_squares(add_window(packets, window), WINDOW_KEYS, slices, by_cpu)
-        counted = counted.join(squares, WINDOW_KEYS)
-    return counted
+
+
+def _slice_us(window: str) -> int:
+    """A window has at most 65 slices."""
+    return max(to_micros(window) // 64, 1)
 
 
 def merge_counters(counters: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -136,29 +179,14 @@ def inter_arrival(
     first instant of a window has no gap.
     """
     keys = [*WINDOW_KEYS, *(["cpu"] if by_cpu else [])]
-    slices = max(to_micros(window) // 64, 1)
-    return _gaps(add_window(packets, window), keys, slices)
-
-
-def _gaps(packets: DataFrame, keys: Sequence[str], slices: str | int) -> DataFrame:
     instants = (
-        packets.groupBy(*keys, "ts")
+        add_window(packets, window)
+        .groupBy(*keys, "ts")
         .agg(F.count(F.lit(1)).alias("packets"))
-        .withColumn("_slice", time_slice("ts", to_micros(slices)))
+        .withColumn("_slice", time_slice("ts", _slice_us(window)))
     )
-    lagged = lag_in_slices(instants, keys, "_slice", "ts", {"ts": "_before"})
-    gap = F.unix_micros("ts") - F.unix_micros("_before")
+    # Both sides of the stitch read the same columns, so Spark shuffles the instants
+    # once and reuses them.
+    lagged = lag_in_slices(instants, keys, "_slice", "ts", {"ts": "_before", "packets": "_seen"})
+    gap = F.expr("CASE WHEN _seen > 0 THEN unix_micros(ts) - unix_micros(_before) END")
     return lagged.select(*keys, "ts", "packets", gap.alias("iat_us"))
-
-
-def iat_squares(
-    packets: DataFrame, keys: Sequence[str], slices: str | int, by_cpu: bool = False
-) -> DataFrame:
-    """Sum of squared gaps (DOUBLE: one gap of 4.3 s in ns already exceeds 64 bits)."""
-    inner = [*keys, *(["cpu"] if by_cpu else [])]
-    gap = F.col("iat_us").cast("double")
-    return (
-        _gaps(packets, inner, slices)
-        .groupBy(*keys)
-        .agg(F.coalesce(F.sum(gap * gap), F.lit(0.0)).alias("iat_sum_sq"))
-    )

@@ -83,14 +83,11 @@ def latency_summary(df: DataFrame, column: str, target: float = 50.0) -> DataFra
         (F.avg(F.when(x < target, 1.0).when(x.isNotNull(), 0.0)) * F.lit(100.0).cast("double")).alias(
             "pct_under_target"
         ),
-    ).withColumn("_one", F.lit(1))
-    quantiles = exact_quantiles(df, [], column, {"median": 0.5, "p95": 0.95, "p99": 0.99}).withColumn(
-        "_one", F.lit(1)
-    )
-    # Both sides are one row.
-    return moments.join(F.broadcast(quantiles), "_one", "left").select(
-        "count", "mean", "std", "median", "p95", "p99", "max", "pct_under_target"
     )
+    quantiles = exact_quantiles(df, [], column, {"median": 0.5, "p95": 0.95, "p99": 0.99})
+    # Two single rows with different columns become one.
+    names = ["count", "mean", "std", "median", "p95", "p99", "max", "pct_under_target"]
+    return moments.unionByName(quantiles, allowMissingColumns=True).agg(*[F.max(n).alias(n) for n in names])
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
@@ -98,33 +95,20 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
     The last bin is closed. A constant column gets a range of one around it.
     """
-    x = F.col(column).cast("double")
-    lowest, highest = F.min(x), F.max(x)
-    flat = lowest == highest
-    # One row; the join keys are constants.
-    extremes = df.agg(
-        F.when(flat, lowest - 0.5).otherwise(lowest).alias("_low"),
-        F.when(flat, highest + 0.5).otherwise(highest).alias("_high"),
-    ).withColumn("_one", F.lit(1))
-    width = (F.col("_high") - F.col("_low")) / F.lit(float(bins))
-    place = F.floor((F.col("_x") - F.col("_low")) / width).cast("int")
-    counted = (
-        df.select(x.alias("_x"), F.lit(1).alias("_one"))
-        .where(F.col("_x").isNotNull())
-        .join(F.broadcast(extremes), "_one")
-        .groupBy(F.least(place, F.lit(bins - 1)).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    frame = extremes.where(F.col("_low").isNotNull()).select(
-        "_low", width.alias("_width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    )
-    b = F.col("bin").cast("double")
-    return frame.join(counted, "bin", "left").select(
-        "bin",
-        (F.col("_low") + b * F.col("_width")).alias("low"),
-        (F.col("_low") + (b + 1) * F.col("_width")).alias("high"),
-        F.coalesce("count", F.lit(0).cast("long")).alias("count"),
-    )
+    values = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    low, high = values.agg(F.min("x"), F.max("x")).first()  # two numbers
+    spark = df.sparkSession
+    if low is None:
+        return spark.createDataFrame([], "bin INT, low DOUBLE, high DOUBLE, count BIGINT")
+    if low == high:
+        low, high = low - 0.5, high + 0.5
+    width = (high - low) / bins
+    place = f"CAST(least(floor((x - {low!r}D) / {width!r}D), {bins - 1}) AS INT)"
+    counted = values.groupBy(F.expr(place).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    edges = spark.range(bins).selectExpr(
+        "CAST(id AS INT) AS bin", f"{low!r}D + id * {width!r}D AS low", f"{low!r}D + (id + 1) * {width!r}D AS high"
+    )
+    return edges.join(counted, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
 
 
 def _cumulative(pred: DataFrame, label: str, score: str, digits: int | None, slices: int) -> DataFrame:

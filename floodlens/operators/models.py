@@ -300,13 +300,12 @@ def permutation_importance(
         F.sum(guess + truth).cast("double").alias("_all"),
     )
     f1 = F.when(F.col("_all") > 0, F.col("_hits") / F.col("_all")).otherwise(F.lit(0.0))
-    # One row per feature.
-    table = counts.select("feature", f1.alias("f1"), F.lit(1).alias("_one"))
-    base = table.where(F.col("feature") == "").select("_one", F.col("f1").alias("_base"))
+    # One row per feature and one for the unchanged rows.
+    base = F.max(F.when(F.col("feature") == "", F.col("f1"))).over(Window.partitionBy())
     return rank_importance(
-        table.where(F.col("feature") != "")
-        .join(F.broadcast(base), "_one")
-        .select("feature", (F.col("_base") - F.col("f1")).alias("importance"))
+        counts.select("feature", f1.alias("f1"))
+        .select("feature", (base - F.col("f1")).alias("importance"))
+        .where(F.col("feature") != "")
     )
 
 

@@ -35,15 +35,19 @@ def lag_in_slices(
     """
     inside = Window.partitionBy(*keys, slice_col).orderBy(order)
     across = Window.partitionBy(*keys).orderBy(slice_col)
-    packed = F.struct(*[F.col(c) for c in values])
     tails = (
         df.groupBy(*keys, slice_col)
-        .agg(F.max_by(packed, F.col(order)).alias("_tail"))
-        .select(*keys, slice_col, F.lag("_tail").over(across).alias("_carry"))
+        .agg(*[F.max_by(c, order).alias(f"_tail_{c}") for c in values])
+        .select(*keys, slice_col, *[F.lag(f"_tail_{c}").over(across).alias(f"_carry_{c}") for c in values])
+    )
+    first = F.row_number().over(inside) == 1
+    lagged = df.select(
+        *df.columns, first.alias("_first"), *[F.lag(c).over(inside).alias(f"_prev_{c}") for c in values]
+    ).join(tails, [*keys, slice_col])
+    return lagged.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"CASE WHEN _first THEN _carry_{c} ELSE _prev_{c} END AS {new}" for c, new in values.items()],
     )
-    lagged = df.withColumn("_prev", F.lag(packed).over(inside)).join(tails, [*keys, slice_col])
-    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    return lagged.select(*df.columns, *[prev[c].alias(new) for c, new in values.items()])
 
 
 def running_totals(
@@ -116,17 +120,21 @@ def select_ranks(
     their cut points are collected.
     """
     data = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    keys = list(groups)
-    if not groups:
-        keys, data = ["_all"], data.withColumn("_all", F.lit(0))
     probs = sorted({min(max(p + d, 0.0), 1.0) for p in near for d in (-_MARGIN, _MARGIN)})
-    found = data.sample(_SAMPLE, seed=11).groupBy(*keys).agg(F.percentile_approx("_v", probs, 1000).alias("_cuts"))
-    cuts = df.sparkSession.createDataFrame(found.collect(), found.schema).selectExpr(
-        *keys, *[f"_cuts[{i}] AS _c{i}" for i in range(len(probs))]
-    )
+    guess = F.percentile_approx("_v", probs, 1000).alias("_cuts")
+    found = data.sample(_SAMPLE, seed=11).groupBy(*groups).agg(guess)
     # A group too small for the sample has no cuts and stays in one slot.
-    slot = " + ".join(f"CAST(coalesce(_c{i} < _v, false) AS INT)" for i in range(len(probs)))
-    slotted = data.join(F.broadcast(cuts), keys, "left").selectExpr(*keys, "_v", f"{slot} AS _slot")
+    if groups:
+        cuts = df.sparkSession.createDataFrame(found.collect(), found.schema).selectExpr(
+            *groups, *[f"_cuts[{i}] AS _c{i}" for i in range(len(probs))]
+        )
+        data = data.join(F.broadcast(cuts), list(groups), "left")
+        limits = [f"_c{i}" for i in range(len(probs))]
+    else:
+        limits = [f"{c!r}D" for c in found.first()["_cuts"] or []]
+    slot = " + ".join(["0", *[f"CAST(coalesce({c} < _v, false) AS INT)" for c in limits]])
+    keys = list(groups)
+    slotted = data.selectExpr(*keys, "_v", f"{slot} AS _slot")
 
     # One row per group and slot: at most len(probs) + 1 per group.
     whole = Window.partitionBy(*keys)

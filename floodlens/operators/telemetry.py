@@ -88,11 +88,9 @@ def to_long(points: DataFrame) -> DataFrame:
 
 
 def from_long(long_points: DataFrame) -> DataFrame:
-    """Fields back to columns; the column list is fixed, so no extra pass finds it."""
-    return (
-        long_points.groupBy("measurement", "ts", *DETECTION_TAGS)
-        .pivot("field", DETECTION_FIELDS)
-        .agg(F.first("value"))
+    """Fields back to columns; the list is fixed, so one aggregate does it."""
+    return long_points.groupBy("measurement", "ts", *DETECTION_TAGS).agg(
+        *[F.expr(f"max(CASE WHEN field = '{f}' THEN value END)").alias(f) for f in DETECTION_FIELDS]
     )
 
 
@@ -177,20 +175,21 @@ def detection_latency(
     with one later than ``timeout``). Both sides are reduced to one row per key
     before they are joined.
     """
-    keys = list(by) or ["_all"]
-    if not by:
-        alerts, attacks = alerts.withColumn("_all", F.lit(1)), attacks.withColumn("_all", F.lit(1))
-    first_attack = attacks.groupBy(*keys).agg(F.min("ts").alias("attack_at"))
-    # Without keys this side is a single row.
-    started = first_attack if by else F.broadcast(first_attack)
-    first_alert = (
-        alerts.select(*keys, F.col("timestamp").alias("_alert"))
-        .join(started, keys)
-        .where(F.col("_alert") >= F.col("attack_at"))
-        .groupBy(*keys)
-        .agg(F.min("_alert").alias("alert_at"))
-    )
-    joined = first_attack.join(first_alert, keys, "left")
+    if by:
+        first_attack = attacks.groupBy(*by).agg(F.min("ts").alias("attack_at"))
+        fired = alerts.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("timestamp").alias("_alert"))
+        same = [F.col(k) == F.col(f"_{k}") for k in by]
+        joined = (
+            first_attack.join(fired, [*same, F.col("_alert") >= F.col("attack_at")], "left")
+            .groupBy(*by, "attack_at")
+            .agg(F.min("_alert").alias("alert_at"))
+        )
+    else:
+        start = attacks.agg(F.min("ts")).first()[0]  # one value
+        since = F.lit(start).cast("timestamp")
+        joined = alerts.where(F.col("timestamp") >= since).agg(
+            since.alias("attack_at"), F.min("timestamp").alias("alert_at")
+        )
     latency = F.unix_micros("alert_at") - F.unix_micros("attack_at")
     late = F.lit(False) if timeout is None else F.col("latency_us") > to_micros(timeout)
     status = (
