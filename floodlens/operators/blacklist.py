@@ -44,7 +44,7 @@ def mark_blacklisted(packets: DataFrame, blacklist: DataFrame, bucket: str = "1
     its buckets. Entries are merged first, hence at most one matches per packet.
     """
     require(blacklist, ["src_ip", "blocked_at", "ttl_us"])
-    width = F.lit(to_micros(bucket))
+    width = to_micros(bucket)
     start = F.unix_micros("blocked_at")
     permanent = (
         blacklist.where(F.col("ttl_us") == 0).groupBy("src_ip").agg(F.min(start).alias("_forever_from"))
@@ -54,15 +54,16 @@ def mark_blacklisted(packets: DataFrame, blacklist: DataFrame, bucket: str = "1
             "src_ip", start.alias("_start"), (start + F.col("ttl_us")).alias("_stop")
         )
     )
-    first = F.floor(F.col("_start") / width)
-    last = F.floor((F.col("_stop") - 1) / width)
-    pieces = limited.select(
-        F.col("src_ip").alias("_src"), "_start", "_stop", F.explode(F.sequence(first, last)).alias("_bucket")
+    pieces = limited.selectExpr(
+        "src_ip AS _src",
+        "_start",
+        "_stop",
+        f"explode(sequence(_start div {width}, (_stop - 1) div {width})) AS _bucket",
     )
     at = F.unix_micros("ts")
     covered = (
         (F.col("src_ip") == F.col("_src"))
-        & (F.floor(at / width) == F.col("_bucket"))
+        & (F.expr(f"unix_micros(ts) div {width}") == F.col("_bucket"))
         & (at >= F.col("_start"))
         & (at < F.col("_stop"))
     )

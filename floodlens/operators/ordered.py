@@ -33,6 +33,9 @@ def lag_in_slices(
     Rows must be unique on (keys, order). One shuffle of the rows by (keys, slice)
     plus one of a table with a row per slice.
     """
+    # The join below drops NULL keys anyway; saying so first keeps both of its sides
+    # identical up to the shuffle, which Spark then reuses.
+    df = df.where(" AND ".join(f"{c} IS NOT NULL" for c in [*keys, slice_col]))
     inside = Window.partitionBy(*keys, slice_col).orderBy(order)
     across = Window.partitionBy(*keys).orderBy(slice_col)
     tails = (
@@ -69,6 +72,8 @@ def running_totals(
         Window.partitionBy(slice_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     totals = totals or {}
+    # As above: identical sides let Spark reuse the shuffle below the summary.
+    df = df.where(f"{slice_col} IS NOT NULL")
     offsets = (
         df.groupBy(slice_col)
         .agg(*[F.sum(c).alias(c) for c in {**values, **totals}])

@@ -673,7 +673,8 @@ def replay_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ready(spark: SparkSession, sf_dir: str) -> training.Prepared:
     ready = training.prepare(views.broken_flows(spark, sf_dir), balance=False)
-    return training.Prepared(materialize(ready.train, "train"), materialize(ready.test, "test"), ready.scaler)
+    ready.train, ready.test = materialize(ready.train, "train"), materialize(ready.test, "test")
+    return ready
 
 
 def _prediction_rows(ready: training.Prepared, model) -> DataFrame:
@@ -744,6 +745,18 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.permutation_importance(ready.test, model, "flow_id")
 
 
+@query
+def evaluate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From labelled flows to the saved best model, and its report on unseen flows."""
+    path = scratch_dir(spark, "run")
+    whole = views.broken_flows(spark, sf_dir)
+    name, _ = training.train_and_select(whole, path, _small_specs()[:1], balance=False)
+    model, _ = models.load_model(spark, f"{path}/models")
+    unseen = training.prepare(whole, balance=False).raw_test
+    found = training.evaluate(unseen, model)
+    return found["classification_report"].withColumn("model", F.lit(name))
+
+
 @query
 def score_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree that learns the rule's verdict from window features, then scores them."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,40 @@ from floodlens.operators.flows import (
     flow_features,
     select_features,
 )
+from floodlens.operators.metrics import (
+    average_precision,
+    binary_metrics,
+    classification_report,
+    confusion_matrix,
+    pr_curve,
+    roc_auc,
+    roc_curve,
+)
+from floodlens.operators.models import (
+    ModelSpec,
+    compare_models,
+    feature_importance,
+    model_specs,
+    permutation_importance,
+    predict,
+    rank_models,
+    save_best,
+)
 from floodlens.operators.smote import smote
 from floodlens.operators.split import stratified_split
 from floodlens.session import materialize
+from floodlens.sources.sinks import write_report, write_splits
 
 
 @dataclass
 class Prepared:
+    """Scaled tables, the fitted scaler, and the same rows unscaled."""
+
     train: DataFrame
     test: DataFrame
     scaler: DataFrame
+    raw_train: DataFrame
+    raw_test: DataFrame
 
 
 def labelled_features(flows: DataFrame, key: str = "flow_id") -> DataFrame:
@@ -54,4 +80,49 @@ def prepare(
     if balance and order == "split-first":
         train = materialize(smote(train, key, seed=seed), "balanced")
     scaler = fit_minmax(train)
-    return Prepared(apply_minmax(train, scaler), apply_minmax(held_out, scaler), scaler)
+    return Prepared(apply_minmax(train, scaler), apply_minmax(held_out, scaler), scaler, train, held_out)
+
+
+def train_and_select(
+    flows: DataFrame,
+    path: str,
+    specs: Sequence[ModelSpec] | None = None,
+    key: str = "flow_id",
+    balance: bool = True,
+    folds: int = 3,
+) -> tuple[str, DataFrame]:
+    """From labelled flows to saved models: (name of the best, comparison report).
+
+    Models are fitted on unscaled rows with the scaler as their first stage, so a
+    loaded model takes rows as they come. Splits, models, the best model and the
+    report are written below ``path``.
+    """
+    ready = prepare(flows, key, balance)
+    write_splits(ready.train, ready.test, ready.scaler, f"{path}/splits")
+    report = compare_models(
+        model_specs() if specs is None else specs,
+        ready.raw_train,
+        ready.raw_test,
+        key,
+        f"{path}/models",
+        scaler=ready.scaler,
+        folds=folds,
+    )
+    write_report(rank_models(report), f"{path}/comparison_report")
+    return save_best(report, f"{path}/models"), report
+
+
+def evaluate(test: DataFrame, model: PipelineModel, key: str = "flow_id") -> dict[str, DataFrame]:
+    """Everything an evaluation reports, by name; scores are computed once."""
+    scored = materialize(predict(test, model, [key, "label"]), "scored")
+    return {
+        "classification_report": classification_report(scored),
+        "confusion_matrix": confusion_matrix(scored),
+        "metrics": binary_metrics(scored),
+        "roc_curve": roc_curve(scored),
+        "roc_auc": roc_auc(scored),
+        "pr_curve": pr_curve(scored),
+        "average_precision": average_precision(scored),
+        "feature_importance": feature_importance(test.sparkSession, model),
+        "permutation_importance": permutation_importance(test, model, key),
+    }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from floodlens.operators import models as md
 from floodlens.operators import scoring
 from floodlens.operators.flows import fit_minmax
-from floodlens.plans.training import prepare
+from floodlens.plans.training import evaluate, prepare, train_and_select
 from floodlens.schemas import FEATURES, FLOW_FEATURES
 
 
@@ -76,7 +76,7 @@ def test_rank_models_breaks_ties(spark):
     assert [r["model"] for r in md.rank_models(report).collect()] == ["d", "c", "a", "b"]
 
 
-def test_prepare_balances_only_the_training_part(spark):
+def test_prepare_train_and_evaluate(spark, tmp_path):
     rng = np.random.default_rng(1)
     names = [
         "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets", "SYN Flag Count",
@@ -90,6 +90,15 @@ def test_prepare_balances_only_the_training_part(spark):
     assert ready.test.where(F.col("flow_id").contains("#")).count() == 0
     ranges = ready.train.select(*[F.min(f"`{f}`") for f in FLOW_FEATURES], *[F.max(f"`{f}`") for f in FLOW_FEATURES]).first()
     assert list(ranges) == pytest.approx([0.0] * 10 + [1.0] * 10)
+    name, report = train_and_select(
+        flows, str(tmp_path / "run"), [md.ModelSpec("Tree", md.model_specs()[0].estimator, {"maxDepth": [2]})]
+    )
+    assert name == "Tree" and report.count() == 1
+    model, _ = md.load_model(spark, str(tmp_path / "run" / "models"))
+    found = evaluate(ready.raw_test, model)
+    assert found["classification_report"].count() == 5
+    assert found["confusion_matrix"].agg({"count": "sum"}).first()[0] == ready.test.count()
+    assert 0 <= found["roc_auc"].first()[0] <= 1
     leaky = prepare(flows, order="reference")
     both = leaky.train.unionByName(leaky.test)
     assert {r["count"] for r in both.groupBy("label").count().collect()} == {150}

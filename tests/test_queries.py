@@ -18,6 +18,7 @@ MODEL_QUERIES = {
     "save_and_load_best",
     "feature_importance",
     "permutation_importance",
+    "evaluate_best",
     "score_with_model",
     "distinct_sources_sketch",
 }
