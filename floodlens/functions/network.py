@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed value: four decimal octets -------------------------------------------
-DOTTED = r"^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-# ---------------------------------------------------------------------------
+# Four decimal octets without leading zeros.
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+DOTTED = rf"^{_OCTET}([.]{_OCTET}){{3}}$"
 
 
 def int_to_ip(value: str) -> Column:

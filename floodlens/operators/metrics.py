@@ -189,19 +189,24 @@ def average_precision(
 
 
 def join_truth(pred: DataFrame, truth: DataFrame, key: str) -> DataFrame:
-    """Predictions with the label of the same key."""
-    return pred.join(truth, key)
+    """Predictions with the label of the same key, and rows that only one side has: their other
+    columns are NULL and ``matched`` is false."""
+    made = pred.withColumn("_made", F.lit(True))
+    known = truth.withColumn("_known", F.lit(True))
+    both = F.col("_made").isNotNull() & F.col("_known").isNotNull()
+    return made.join(known, key, "full_outer").withColumn("matched", both).drop("_made", "_known")
 
 
 def compare_predictions(
     a: DataFrame, b: DataFrame, key: str, label: str = "prediction", probability: str = "score", needed: float = 0.99
 ) -> DataFrame:
-    """How far two scorers agree on the same rows."""
-    left = a.select(key, F.col(label).alias("_la"), F.col(probability).cast("double").alias("_pa"))
-    right = b.select(key, F.col(label).alias("_lb"), F.col(probability).cast("double").alias("_pb"))
+    """How far two scorers agree. A row that only one of them has is a mismatch."""
+    left = a.select(key, F.col(label).alias("_la"), F.col(probability).cast("double").alias("_pa"), F.lit(1).alias("_a"))
+    right = b.select(key, F.col(label).alias("_lb"), F.col(probability).cast("double").alias("_pb"), F.lit(1).alias("_b"))
     same = F.when(F.col("_la") == F.col("_lb"), 1.0).otherwise(0.0)
-    return left.join(right, key).agg(
+    return left.join(right, key, "full_outer").agg(
         F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("missing"),
         F.avg(same).alias("match_rate"),
         F.max(F.abs(F.col("_pa") - F.col("_pb"))).alias("max_abs_diff"),
         F.coalesce(F.avg(same) >= needed, F.lit(False)).alias("passed"),

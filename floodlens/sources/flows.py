@@ -2,35 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floodlens.schemas import FLOW_TYPES
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file or folder, blanks kept; reads one line."""
-    first = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return first.columns
+def _header(spark: SparkSession, file: str) -> list[str]:
+    """Column names of one CSV file: its first line, read by the file system that holds it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        source = codec.createInputStream(stream) if codec is not None else stream
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    names = [n.strip() for n in next(csv.reader([line.lstrip("﻿")]))] if line else []
+    seen: Counter[str] = Counter()
+    out = []
+    for name in names:  # a repeated name gets a number, as common readers do
+        out.append(f"{name}.{seen[name]}" if seen[name] else name)
+        seen[name] += 1
+    return out
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    """Text to the given type; whole numbers may be written as 3 or 3.0. NULL where it does not parse."""
+    text = F.trim(f"`{name}`")
+    number = text.try_cast("double")
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), number.try_cast(kind)))
+    return F.col(f"`{name}`") if isinstance(kind, T.StringType) else text.try_cast(kind)
+
 
+def _as_text(spark: SparkSession, path: str) -> DataFrame:
+    """All files of a path as text columns, matched by name: files are read in groups that share
+    one header, so a column's place in a file does not matter."""
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(files):  # one row per file
+        header = tuple(_header(spark, file))
+        if header:
+            groups.setdefault(header, []).append(file)
+    if not groups:
+        raise ValueError(f"no CSV header below {path}")
+    tables = [
+        spark.read.option("header", True)
+        .option("enforceSchema", True)
+        .schema(T.StructType([T.StructField(n, T.StringType()) for n in header]))
+        .csv(own)
+        for header, own in groups.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
-def read_flows(
-    spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None
-) -> DataFrame:
-    """CSV with a header; column names are trimmed and types are explicit.
 
-    Known flow columns get their documented type, unknown ones are read as DOUBLE
-    unless ``types`` says otherwise. 'Infinity', 'Inf' and 'NaN' are numbers and
-    empty fields are NULL.
+def read_flows(spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None) -> DataFrame:
+    """CSV with a header in each file; column names are trimmed and types are explicit.
+
+    Known flow columns get their documented type, all others are text unless ``types``
+    says otherwise. 'Infinity', 'Inf' and 'NaN' are numbers and empty fields are NULL, as
+    is a value that does not parse; ``parse_errors`` counts those. Files may have different
+    orders of columns; a column that a file lacks is NULL there.
     """
     known = {**FLOW_TYPES, **(types or {})}
-    raw_names = _header(spark, path)
-    schema = T.StructType(
-        [T.StructField(n.strip(), known.get(n.strip(), T.DoubleType())) for n in raw_names]
+    raw = _as_text(spark, path)
+    return raw.select(*[_typed(n, known.get(n, T.StringType())).alias(n) for n in raw.columns])
+
+
+def parse_errors(spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None) -> DataFrame:
+    """Per typed column: values present, values that do not parse, and the least such text."""
+    known = {**FLOW_TYPES, **(types or {})}
+    raw = _as_text(spark, path)
+    checked = [n for n in raw.columns if not isinstance(known.get(n, T.StringType()), T.StringType)]
+    there = {n: F.col(f"`{n}`").isNotNull() & (F.trim(f"`{n}`") != "") for n in checked}
+    wrong = {n: there[n] & _typed(n, known[n]).isNull() for n in checked}
+    counts = raw.agg(
+        *[F.count_if(there[n]).alias(f"present_{i}") for i, n in enumerate(checked)],
+        *[F.count_if(wrong[n]).alias(f"wrong_{i}") for i, n in enumerate(checked)],
+        *[F.min(F.when(wrong[n], F.col(f"`{n}`"))).alias(f"example_{i}") for i, n in enumerate(checked)],
     )
-    # The schema names the trimmed columns, so the header is skipped, not checked.
-    return spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    rows = [
+        F.struct(
+            F.lit(n).alias("column"),
+            F.col(f"present_{i}").alias("present"),
+            F.col(f"wrong_{i}").alias("unparsable"),
+            F.col(f"example_{i}").alias("example"),
+        )
+        for i, n in enumerate(checked)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def load_report(flows: DataFrame, label: str = "Label") -> DataFrame:

@@ -32,7 +32,8 @@ def read_packets(
 
 
 def _probe(df: DataFrame, frame: str) -> DataFrame:
-    """Countable frames with their size, protocol and transport header offset."""
+    """Frames with a complete IPv4 header: their size, protocol, transport offset, and whether the
+    transport header is complete."""
     # Low half of the first IP byte counts the header length in 4-byte words.
     words = f"({unsigned_sql(frame, ETH_HEADER)} & 15)"
     needed = (
@@ -48,7 +49,7 @@ def _probe(df: DataFrame, frame: str) -> DataFrame:
             f"CAST({unsigned_sql(frame, IP_PROTOCOL_AT)} AS INT) AS _proto",
             f"CAST({ETH_HEADER} + {words} * 4 AS INT) AS _l4",
         )
-        .where(f"coalesce(_size >= _l4 + {needed}, true)")
+        .selectExpr("*", f"coalesce(_size >= _l4 + {needed}, true) AS _l4_ok")
     )
 
 
@@ -58,7 +59,7 @@ def valid_ipv4(df: DataFrame, frame: str = "frame") -> DataFrame:
     Everything else passes through the network uncounted. Protocols other than
     TCP, UDP and ICMP need no transport header.
     """
-    return _probe(df, frame).select(*df.columns)
+    return _probe(df, frame).where("_l4_ok").select(*df.columns)
 
 
 def decode_frames(df: DataFrame, frame: str = "frame", ts: str = "ts") -> DataFrame:
@@ -67,14 +68,29 @@ def decode_frames(df: DataFrame, frame: str = "frame", ts: str = "ts") -> DataFr
     Frames that cannot be counted are dropped; other columns are kept. The packet
     length is the length of the whole frame, link header included.
     """
+    return countable(decode_headers(df, frame, ts))
+
+
+def countable(headers: DataFrame) -> DataFrame:
+    """Decoded frames whose transport header is complete."""
+    return headers.where("l4_ok").drop("l4_ok")
+
+
+def decode_headers(df: DataFrame, frame: str = "frame", ts: str = "ts") -> DataFrame:
+    """As decode_frames, with every frame that has a complete IPv4 header and ``l4_ok``.
+
+    A blacklist is asked at this point: a frame of a blocked source counts as dropped even
+    if its transport header is cut. Only ``countable`` rows go on to the counters.
+    """
     kept = [c for c in df.columns if c not in (frame, ts)]
     flags = unsigned_sql(frame, f"_l4 + {TCP_FLAGS_AT}")
     return _probe(df, frame).selectExpr(
         f"{unsigned_sql(frame, IP_SOURCE_AT, 4)} AS src_ip",
         f"{ts} AS ts",
         "_proto AS proto",
-        f"_proto = {PROTO_TCP} AND ({flags} & {TCP_SYN_BIT}) > 0 AS tcp_syn",
-        f"_proto = {PROTO_TCP} AND ({flags} & {TCP_ACK_BIT}) > 0 AS tcp_ack",
+        f"_l4_ok AND _proto = {PROTO_TCP} AND ({flags} & {TCP_SYN_BIT}) > 0 AS tcp_syn",
+        f"_l4_ok AND _proto = {PROTO_TCP} AND ({flags} & {TCP_ACK_BIT}) > 0 AS tcp_ack",
         "_size AS pkt_len",
+        "_l4_ok AS l4_ok",
         *kept,
     )

@@ -10,7 +10,7 @@ from floodlens.operators import flows as fl
 from floodlens.operators.ordered import exact_quantiles, select_ranks
 from floodlens.operators.split import stratified_split
 from floodlens.schemas import FLOW_FEATURES
-from floodlens.sources.flows import read_flows
+from floodlens.sources.flows import parse_errors, read_flows
 from floodlens.sources.sinks import read_splits, write_splits
 
 
@@ -25,6 +25,39 @@ def test_reader_trims_names_and_parses_specials(spark, tmp_path):
     assert fl.clean_flows(got).count() == 0
 
 
+def test_files_may_differ_in_order_and_hold_text(spark, tmp_path):
+    folder = tmp_path / "flows"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Flow ID, Flow Duration,SYN Flag Count,Timestamp,Label\n\"1,a\",7,3,03/07 8:55,x\n")
+    (folder / "b.csv").write_text("SYN Flag Count,Label,Flow Duration,Flow ID\n4.0,y,8.5,b\nbad,y,1,c\n")
+    (folder / "empty.csv").write_text("")
+    got = {r["Flow ID"]: r for r in read_flows(spark, str(folder)).collect()}
+    assert (got["1,a"]["Flow Duration"], got["1,a"]["SYN Flag Count"], got["1,a"]["Timestamp"]) == (7.0, 3, "03/07 8:55")
+    assert (got["b"]["Flow Duration"], got["b"]["SYN Flag Count"], got["b"]["Timestamp"]) == (8.5, 4, None)
+    assert got["c"]["SYN Flag Count"] is None
+    errors = {r["column"]: tuple(r)[1:] for r in parse_errors(spark, str(folder)).collect()}
+    assert errors == {"Flow Duration": (3, 0, None), "SYN Flag Count": (3, 1, "bad")}
+    whole = read_flows(spark, str(folder / "a.csv"))
+    assert fl.clean_flows(whole).count() == 1
+
+
+def test_repeated_names_get_numbers(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("a,a,Label\n1,2,x\n")
+    assert read_flows(spark, str(tmp_path / "f.csv")).columns == ["a", "a.1", "Label"]
+
+
+def test_ranks_are_exact_after_repeated_narrowing(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([0.0, rng.random(), rng.gauss(50, 30)])) for g in "ab" for _ in range(4000)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
+    places = [("p", 1999), ("q", 3999), ("r", 0)]
+    got = select_ranks(df, ["g"], "v", lambda n: [(t, F.lit(r)) for t, r in places], [0.5], most=20)
+    found = {(r["g"], r["tag"]): r["value"] for r in got.collect()}
+    for g in "ab":
+        ordered = sorted(v for x, v in rows if x == g)
+        assert all(found[(g, t)] == ordered[r] for t, r in places)
+
+
 def test_cleaning_collapses_copies(spark):
     rows = [(1.0, "a")] * 50 + [(2.0, "a"), (None, "a"), (float("nan"), "b"), (float("-inf"), "b"), (3.0, None)]
     df = spark.createDataFrame(rows, "`x y` DOUBLE, Label STRING")

@@ -79,3 +79,12 @@ def test_compare_predictions(spark):
     got = mt.compare_predictions(a, b, "id").first()
     assert got["match_rate"] == pytest.approx(0.98) and not got["passed"]
     assert got["max_abs_diff"] == pytest.approx(0.1)
+
+
+def test_rows_that_one_scorer_lost_are_mismatches(spark):
+    a = spark.createDataFrame([(i, 1, 0.9) for i in range(100)], "id INT, prediction INT, score DOUBLE")
+    got = mt.compare_predictions(a, a.where("id < 50"), "id").first()
+    assert (got["rows"], got["missing"], got["match_rate"], got["passed"]) == (100, 50, 0.5, False)
+    truth = spark.createDataFrame([(i, 0) for i in range(90, 110)], "id INT, label INT")
+    joined = mt.join_truth(a, truth, "id")
+    assert joined.count() == 110 and joined.where("matched").count() == 10

@@ -62,7 +62,7 @@ def test_every_frame_kind(spark):
 
 
 def test_addresses(spark):
-    rows = [("10.0.0.1",), ("255.255.255.255",), ("0.0.0.0",), ("256.1.1.1",), ("::1",), ("1.2.3",), ("",)]
+    rows = [("10.0.0.1",), ("255.255.255.255",), ("0.0.0.0",), ("256.1.1.1",), ("::1",), ("1.2.3",), ("",), ("10.0.0.07",), ("010.1.1.1",)]
     df = spark.createDataFrame(rows, "t STRING").withColumn("v", ip_to_int("t"))
     got = {r["t"]: r["v"] for r in df.collect()}
     assert got == {
@@ -73,6 +73,8 @@ def test_addresses(spark):
         "::1": 0,
         "1.2.3": 0,
         "": 0,
+        "10.0.0.07": 0,
+        "010.1.1.1": 0,
     }
     back = spark.createDataFrame([(0x0A000001,), (0xFFFFFFFF,)], "v BIGINT").withColumn("t", int_to_ip("v"))
     assert [r["t"] for r in back.collect()] == ["10.0.0.1", "255.255.255.255"]
