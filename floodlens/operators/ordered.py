@@ -13,11 +13,17 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floodlens.session import materialize
 
 # Share of the rows that the cut points of select_ranks come from, and how far
 # around an expected position they are set.
 _SAMPLE = 0.02
 _MARGIN = 0.01
+# Rows of different values that one slot may have before it is cut again, and into how many.
+_MOST_IN_SLOT = 1_000_000
+_EVEN = 32
+# Groups whose cut points are broadcast.
+_FEW_GROUPS = 1000
 
 
 def time_slice(ts: str, slice_us: int) -> Column:
@@ -104,12 +110,29 @@ def slice_of(value: str, cuts: Sequence[float]) -> Column:
     return F.expr(f"size(filter(array({points}), c -> c < {value}))")
 
 
+def _with_cuts(data: DataFrame, scope: list[str], found: DataFrame, cuts: int) -> DataFrame:
+    """Each row with its slot: how many of its group's cut points (column _cuts) lie below it."""
+    if scope:
+        few = found.limit(_FEW_GROUPS + 1).collect()
+        if len(few) <= _FEW_GROUPS:
+            found = F.broadcast(data.sparkSession.createDataFrame(few, found.schema))
+        columns = found.selectExpr(*scope, *[f"get(_cuts, {i}) AS _c{i}" for i in range(cuts)])
+        data = data.join(columns, scope, "left")
+        limits = [f"_c{i}" for i in range(cuts)]
+    else:
+        limits = [f"{c!r}D" for c in found.first()["_cuts"] or []]
+    # A group too small for the sample has no cuts and stays in one slot.
+    slot = " + ".join(["0", *[f"CAST(coalesce({c} < _v, false) AS INT)" for c in limits]])
+    return data.selectExpr(*scope, "_v", f"{slot} AS _slot")
+
+
 def select_ranks(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
     ranks: Callable[[Column], Sequence[tuple[str, Column]]],
     near: Sequence[float],
+    most: int = _MOST_IN_SLOT,
 ) -> DataFrame:
     """Exact order statistics per group without sorting the groups.
 
@@ -119,57 +142,53 @@ def select_ranks(
     group size.
 
     Narrow value slots are cut around the expected positions, using approximate
-    quantiles of a sample. All rows are then counted per slot, and only the slots
-    that hold a wanted rank are grouped by value and ordered. Bad cuts cost time
-    and not exactness. The number of groups must be small (features x classes):
-    their cut points are collected.
+    quantiles of a sample. All rows are then counted per slot, and only slots that hold a
+    wanted rank go on. While such a slot has more than ``most`` rows of different values, its
+    rows are cut again, evenly. What is left is grouped by value and ordered. Bad cuts cost
+    time and not exactness. Cut points of few groups are broadcast, those of many are joined.
     """
     data = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     probs = sorted({min(max(p + d, 0.0), 1.0) for p in near for d in (-_MARGIN, _MARGIN)})
     guess = F.percentile_approx("_v", probs, 1000).alias("_cuts")
-    found = data.sample(_SAMPLE, seed=11).groupBy(*groups).agg(guess)
-    # A group too small for the sample has no cuts and stays in one slot.
-    if groups:
-        cuts = df.sparkSession.createDataFrame(found.collect(), found.schema).selectExpr(
-            *groups, *[f"_cuts[{i}] AS _c{i}" for i in range(len(probs))]
+    scope = list(groups)
+    slotted = _with_cuts(data, scope, data.sample(_SAMPLE, seed=11).groupBy(*scope).agg(guess), len(probs))
+    hits = None
+    while True:
+        # One row per group and slot.
+        whole = Window.partitionBy(*scope)
+        before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        slots = (
+            slotted.groupBy(*scope, "_slot")
+            .agg(F.count(F.lit(1)).alias("_n"), (F.min("_v") < F.max("_v")).alias("_mixed"))
+            .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         )
-        data = data.join(F.broadcast(cuts), list(groups), "left")
-        limits = [f"_c{i}" for i in range(len(probs))]
-    else:
-        limits = [f"{c!r}D" for c in found.first()["_cuts"] or []]
-    slot = " + ".join(["0", *[f"CAST(coalesce({c} < _v, false) AS INT)" for c in limits]])
-    keys = list(groups)
-    slotted = data.selectExpr(*keys, "_v", f"{slot} AS _slot")
-
-    # One row per group and slot: at most len(probs) + 1 per group.
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = (
-        slotted.groupBy(*keys, "_slot")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("total", F.sum("_n").over(whole))
-    )
-    wanted = F.array(
-        *[F.struct(F.lit(tag).alias("tag"), rank.cast("long").alias("rank")) for tag, rank in ranks(F.col("total"))]
-    )
-    hits = (
-        slots.select(*keys, "_slot", "_before", "_n", "total", F.inline(wanted))
-        .where("rank >= _before AND rank < _before + _n")
-        .drop("_n")
-    )
-
-    inside = (
-        Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # Both broadcasts are of at most groups x ranks rows.
+        if hits is None:
+            sized = slots.withColumn("total", F.sum("_n").over(whole))
+            pairs = [F.struct(F.lit(t).alias("tag"), r.cast("long").alias("rank")) for t, r in ranks(F.col("total"))]
+            wanted = sized.select(*scope, "_slot", "_before", "_n", "_mixed", "total", F.inline(F.array(*pairs)))
+        else:
+            wanted = slots.join(hits.drop("_n", "_mixed"), scope)
+        found = wanted.where("rank >= _before AND rank < _before + _n")
+        # The rank inside the slot from here on; a few rows per group, read several times.
+        inner = found.select(*scope, "_slot", "_n", "_mixed", "total", "tag", (F.col("rank") - F.col("_before")).alias("rank"))
+        level = f"_slot{len(scope)}"
+        hits = materialize(inner.withColumnRenamed("_slot", level), "rank-slots")
+        own = [*scope, level]
+        rows = slotted.withColumnRenamed("_slot", level).join(hits.select(*own).distinct(), own, "left_semi")
+        scope = own
+        if hits.where(F.col("_mixed") & (F.col("_n") > most)).limit(1).count() == 0:
+            break
+        even = [i / _EVEN for i in range(1, _EVEN)]
+        cuts = rows.groupBy(*scope).agg(F.percentile_approx("_v", even, 10 * _EVEN).alias("_cuts"))
+        slotted = _with_cuts(rows, scope, cuts, len(even))
+
+    inside = Window.partitionBy(*scope).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        slotted.join(F.broadcast(hits), [*keys, "_slot"], "left_semi")
-        .groupBy(*keys, "_slot", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(inside))
-        .join(F.broadcast(hits), [*keys, "_slot"])
-        .where("rank - _before < _upto AND rank - _before >= _upto - _n")
+        rows.groupBy(*scope, "_v")
+        .agg(F.count(F.lit(1)).alias("_here"))
+        .withColumn("_upto", F.sum("_here").over(inside))
+        .join(hits, scope)
+        .where("rank < _upto AND rank >= _upto - _here")
         .select(*groups, "tag", F.col("_v").alias("value"), "total")
     )
 
