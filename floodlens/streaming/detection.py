@@ -18,7 +18,12 @@ from floodlens.operators.blacklist import block_sources
 from floodlens.operators.counters import windowed_counters
 from floodlens.operators.detect import alerts_of_verdicts
 from floodlens.operators.features import feature_vector
-from floodlens.operators.telemetry import telemetry_detection, window_throughput
+from floodlens.operators.telemetry import (
+    GLOBAL_FIELDS,
+    accumulate_throughput,
+    telemetry_detection,
+    window_throughput,
+)
 from floodlens.plans.detection import Scorer, detections_of
 from floodlens.schemas import DEFAULT_THRESHOLD, DEFAULT_TTL, DEFAULT_WINDOW, PERMANENT_US
 from floodlens.sources.sinks import write_alerts
@@ -59,6 +64,22 @@ def write_stream(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def open_packets(query: StreamingQuery, packets: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
+    """Packets of the windows that a finished run left open, from the same input as a batch.
+
+    A stream emits a window when the watermark passes its end, so a finite input leaves its
+    last windows in state. The watermark of the last batch tells which: windows that end
+    later. Packets that came too late belong to closed windows and stay out.
+    """
+    seen = (query.lastProgress or {}).get("eventTime", {}).get("watermark")
+    if seen is None:
+        return packets
+    passed = F.lit(seen).cast("timestamp")
+    # Windows that end after the watermark start after it less their width: this filter reaches the scan.
+    recent = F.col("ts") >= passed - F.expr(f"INTERVAL '{to_interval(window)}'")
+    return packets.where(recent & (F.window("ts", to_interval(window))["end"] > passed))
+
+
 _STATE = "src_ip BIGINT, blocked_until TIMESTAMP"
 
 
@@ -71,6 +92,7 @@ class BlockLoop:
     * ``verdicts/batch=N``  windows with state and blocked_until
     * ``alerts/batch=N``    JSON lines
     * ``telemetry/batch=N`` one point per scored source
+    * ``throughput/batch=N`` passed packets and bytes, and dropped packets, per window
     * ``state/batch=N``     sources that are still blocked after batch N
     """
 
@@ -108,10 +130,36 @@ class BlockLoop:
         # Read back: the outputs below must not repeat the aggregation.
         verdicts = spark.read.schema(judged.schema).parquet(verdict_path)
         write_alerts(alerts_of_verdicts(verdicts), f"{self.path}/alerts/batch={batch_id}", "overwrite")
+        self._totals(verdicts).write.mode("overwrite").parquet(f"{self.path}/throughput/batch={batch_id}")
         scored = verdicts.where(F.col("state") != "DROPPED")
         telemetry_detection(scored).write.mode("overwrite").parquet(f"{self.path}/telemetry/batch={batch_id}")
         self._next_state(verdicts, carried).write.mode("overwrite").parquet(self._state_path(batch_id))
 
+    @staticmethod
+    def _totals(verdicts: DataFrame) -> DataFrame:
+        dropped = F.col("state") == "DROPPED"
+        zero = F.lit(0).cast("long")
+        return verdicts.groupBy("window_start", "window_end").agg(
+            F.sum(F.when(dropped, zero).otherwise(F.col("pkt_count").cast("long"))).alias("total_pkts"),
+            F.sum(F.when(dropped, zero).otherwise(F.col("byte_count").cast("long"))).alias("total_bytes"),
+            F.sum(F.when(dropped, F.col("pkt_count").cast("long")).otherwise(zero)).alias("total_dropped"),
+        )
+
+    def finish(
+        self,
+        query: StreamingQuery,
+        packets: DataFrame,
+        scorer: Scorer | None = None,
+        at: float = DEFAULT_THRESHOLD,
+    ) -> None:
+        """Judge the windows that a finished run left open, as one more batch.
+
+        If the stream goes on later, its next batch takes this one's number and place.
+        """
+        rest = detections_of(windowed_counters(open_packets(query, packets, self.window), self.window), scorer, at)
+        last = query.lastProgress
+        self(rest, last["batchId"] + 1 if last else 0)
+
     def _next_state(self, verdicts: DataFrame, carried: DataFrame | None) -> DataFrame:
         blocks = verdicts.where(F.col("blocked_until").isNotNull()).select("src_ip", "blocked_until")
         if carried is not None:
@@ -154,5 +202,11 @@ def stream_block(
 
 
 def read_stream_output(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """All batches of one output ('verdicts' or 'telemetry')."""
+    """All batches of one output ('verdicts', 'telemetry' or 'throughput')."""
     return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}/batch=*").drop("batch")
+
+
+def read_throughput(spark: SparkSession, path: str) -> DataFrame:
+    """Per window what passed and what was dropped, with totals since the beginning."""
+    found = read_stream_output(spark, path, "throughput").groupBy("window_start", "window_end")
+    return accumulate_throughput(found.agg(*[F.sum(c).alias(c) for c in GLOBAL_FIELDS]))

@@ -108,3 +108,20 @@ def test_stream_features_and_throughput_equal_batch(spark, tmp_path):
     totals = live.stream_throughput(read_packets(spark, source, stream=True), "5 seconds", "1 second")
     live.write_stream(totals, str(tmp_path / "t"), str(tmp_path / "ct")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "t")).agg({"total_pkts": "sum"}).first()[0] == 7 * 55 + 18
+
+
+def test_last_windows_of_a_finite_run_are_closed(spark, tmp_path):
+    source = str(tmp_path / "in")
+    write_in_order(spark, minute(), source, 4)
+    out, scorer = str(tmp_path / "out"), rule()
+    loop = live.BlockLoop(out, "1 second", "10 seconds")
+    stream = read_packets(spark, source, stream=True, maxFilesPerTrigger="1")
+    run = live.stream_block(stream, out, str(tmp_path / "cp"), scorer, "1 second", 0.5, "10 seconds", "1 second", on_batch=loop)
+    run.awaitTermination()
+    loop.finish(run, read_packets(spark, source), scorer, 0.5)
+    got = live.read_stream_output(spark, out, "verdicts").select("src_ip", "window_start", "state")
+    want = judge(read_packets(spark, source), scorer, "1 second", 0.5, "10 seconds").select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    totals = live.read_throughput(spark, out).orderBy("window_start").collect()
+    assert len(totals) == 60 and totals[-1]["cum_pkts"] + totals[-1]["cum_dropped"] == len(minute())
+    assert totals[-1]["cum_dropped"] == 5 * 54
