@@ -275,7 +275,6 @@ def _blocks(end: str) -> str:
 _TTL_US = 3 * 86400 * 1000000
 VERDICTS = f"{DETECTIONS}, {_blocks(f'w.ue + {_TTL_US}')}"
 VERDICTS_FOREVER = f"{DETECTIONS}, {_blocks('253402300799999999')}"
-_CLOSED = "<= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events)"
 _LAST_ALERT_COLUMNS = "d.score, d.pkt_count, d.byte_count, d.syn_count"
 _VERDICT_ALERTS = f"""SELECT v.ue AS timestamp, {_IP.format(v='v.src_ip')} AS src_ip, {_LAST_ALERT_COLUMNS}, 'BLOCK' AS action
   FROM verdicts v JOIN detections d ON d.src_ip = v.src_ip AND epoch_us(d.window_start) = v.us
@@ -292,6 +291,15 @@ FRAMES = f"""frames AS (
 good AS (SELECT * FROM frames WHERE NOT is_v6 AND size >= 34
    AND size >= CASE proto WHEN 6 THEN l4 + 20 WHEN 17 THEN l4 + 8 WHEN 1 THEN l4 + 8 ELSE 0 END)"""
 
+_FRAMES_MARKED = f"""{FRAMES}, {BLACKLIST}, headed AS (
+    SELECT *, size AS pkt_len, event_type IN ('click', 'view') AS tcp_syn, event_type = 'view' AS tcp_ack,
+           size >= CASE proto WHEN 6 THEN l4 + 20 WHEN 17 THEN l4 + 8 WHEN 1 THEN l4 + 8 ELSE 0 END AS l4_ok
+    FROM frames WHERE NOT is_v6 AND size >= 34),
+  marked AS (SELECT p.*, EXISTS (SELECT 1 FROM blacklist b WHERE b.src_ip = p.src_ip AND p.ts >= b.blocked_at
+               AND (b.ttl_us = 0 OR epoch_us(p.ts) < epoch_us(b.blocked_at) + b.ttl_us)) AS dropped FROM headed p),
+  counted AS (SELECT * FROM marked WHERE dropped OR l4_ok)"""
+_FRAME_PACKETS = f"""{_FRAMES_MARKED}, packets AS (SELECT * FROM marked WHERE l4_ok AND NOT dropped)"""
+
 _GAPS = f"""{PACKETS}, instants AS (
   SELECT src_ip, {_bucket('1 day')} AS window_start, ts, count(*) AS packets FROM packets GROUP BY ALL),
 gaps AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY src_ip, window_start ORDER BY ts) AS iat_us
@@ -323,11 +331,80 @@ _QUARTILES = (
     "quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75"
 )
 
+# Models that learn a label which one column decides: what they predict is that column's rule.
+_TEST = f"{CLEAN_TABLE}, test AS (SELECT flow_id, CAST(syn > 3 AS INTEGER) AS label, syn FROM clean WHERE {_IN_TEST})"
+_LEARNED = f"WITH {_TEST} SELECT flow_id, label, label AS prediction, CAST(label AS DOUBLE) AS score"
+_TEST_PRED = f"{_TEST}, pred AS (SELECT label, label AS prediction FROM test)"
+
+
+def _perfect(model: str, params: str) -> str:
+    return f"""SELECT '{model}' AS model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS "precision", 1.0::DOUBLE AS recall,
+      1.0::DOUBLE AS f1, 0.0::DOUBLE AS fpr, '{params}' AS best_params"""
+
+
+# Balanced classes tie, and a tree without a split then says 0.
+_COMPARED = f"""WITH {_TEST}, share AS (SELECT avg(label) AS p FROM test)
+  SELECT 'Constant' AS model, round(1 - p, 4) AS accuracy, 0.0::DOUBLE AS "precision", 0.0::DOUBLE AS recall, 0.0::DOUBLE AS f1,
+    0.0::DOUBLE AS fpr, '{{"maxDepth": 0}}' AS best_params FROM share
+  UNION ALL {_perfect('DecisionTree', '{"maxDepth": 5, "minInstancesPerNode": 1}')}
+  UNION ALL {_perfect('RandomForest', '{"numTrees": 10, "maxDepth": 10, "featureSubsetStrategy": "all"}')}
+  UNION ALL {_perfect('Boosted', '{"maxIter": 3, "maxDepth": 4}')}"""
+
+
+def _salted(salt: str) -> str:
+    return f"CAST('0x' || substr(md5('42:{salt}:' || flow_id), 1, 13) AS BIGINT)"
+
+
+_PERMUTED = f"""{_TEST}, g AS (SELECT *, {_salted('group')} % (SELECT greatest(1, count(*) // 10000) FROM test) AS grp FROM test),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {_salted('take')}, flow_id) AS a,
+      row_number() OVER (PARTITION BY grp ORDER BY {_salted('give')}, flow_id) AS f FROM g),
+  paired AS (SELECT x.label, CAST(y.syn > 3 AS INTEGER) AS guess FROM placed x JOIN placed y ON x.grp = y.grp AND x.a = y.f),
+  moved AS (SELECT 1 - 2.0::DOUBLE * count(*) FILTER (WHERE label = 1 AND guess = 1) / sum(label + guess) AS loss FROM paired)"""
+_FEATURE_NAMES = f"(SELECT unnest([{', '.join(repr(n) for n in FLOW_FEATURES)}]) AS feature)"
+
+# Balancing: the class R is the smaller one.
+_BALANCED = f"""{FLOW_TABLE}, train AS (SELECT * FROM ft WHERE NOT ({_IN_TEST})),
+  sizes AS (SELECT count(*) FILTER (WHERE label = 1) AS small, count(*) FILTER (WHERE label = 0) AS large FROM train),
+  quota AS (SELECT *, (large - small) // small AS each, (large - small) % small AS extra,
+      row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:quota:' || flow_id), 1, 13) AS BIGINT)) AS place
+      FROM train, sizes WHERE label = 1),
+  made AS (SELECT *, unnest(range(1, 1 + each + CASE WHEN place <= extra THEN 1 ELSE 0 END)) AS i FROM quota)"""
+
 ORACLES: dict[str, str] = {
+    # balancing, models
+    "smote": f"""WITH {_BALANCED} SELECT flow_id, label, true AS inside FROM train
+        UNION ALL SELECT flow_id || '#' || i AS flow_id, label, true AS inside FROM made""",
+    "smote_values": f"""WITH {_BALANCED} SELECT flow_id, "SYN Flag Count", "ACK Flag Count", label FROM train
+        UNION ALL SELECT flow_id || '#' || i AS flow_id, "SYN Flag Count", "ACK Flag Count", label FROM made""",
+    "train_tree": f"{_LEARNED} FROM test",
+    "train_forest": f"{_LEARNED} FROM test",
+    "train_boosted": f"WITH {_TEST} SELECT flow_id, label, label AS prediction FROM test",
+    "grid_search": f"{_LEARNED} FROM test",
+    "compare_models": _COMPARED,
+    "save_and_load_best": f"{_LEARNED}, 'DecisionTree' AS model FROM test",
+    "feature_importance": f"""SELECT feature, CASE WHEN feature = 'SYN Flag Count' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance
+        FROM {_FEATURE_NAMES}""",
+    "permutation_importance": f"""WITH {_PERMUTED} SELECT feature,
+        CASE WHEN feature = 'SYN Flag Count' THEN round(loss, 6) ELSE 0.0::DOUBLE END AS importance FROM {_FEATURE_NAMES}, moved""",
+    "evaluate_best": f"""WITH {CELLS.replace(PRED, _TEST_PRED)}, report AS ({_report_rows()})
+        SELECT *, 'DecisionTree' AS model FROM report""",
+    "score_with_model": f"""WITH {DETECTIONS} SELECT src_ip, epoch_us(window_start) AS window_start,
+        CAST(is_attack AS DOUBLE) AS score, is_attack FROM detections""",
+    "distinct_sources_sketch": f"""WITH {PACKETS} SELECT DISTINCT epoch_us({_bucket('1 day')}) AS window_start, true AS close
+        FROM packets""",
     # sources and sinks
-    "read_flows": f"""WITH {BROKEN} SELECT flow_id, fwd, ack, round(len_mean, 9) AS len_mean,
+    "read_flows": f"""WITH {BROKEN} SELECT flow_id, 'flow, ' || flow_id AS "Flow ID", fwd, ack, round(len_mean, 9) AS len_mean,
         CASE WHEN duration < CAST('Infinity' AS DOUBLE) THEN duration END AS duration,
         coalesce(duration = CAST('Infinity' AS DOUBLE), false) AS endless, label_text AS "Label" FROM broken""",
+    "read_flows_cleaned": f"""WITH {BROKEN}, n AS (SELECT (SELECT count(*) FROM broken) AS a, (SELECT count(*) FROM clean) AS b)
+        SELECT a AS initial, a - b AS removed, round(CAST(a - b AS DOUBLE) / a * 100, 1) AS removed_pct,
+        b AS remaining FROM n""",
+    "parse_errors": f"""WITH {BROKEN}, c AS (SELECT unnest(['Total Fwd Packets', 'Total Backward Packets', 'Total Length of Fwd Packets',
+          'SYN Flag Count', 'ACK Flag Count', 'Packet Length Mean', 'Packet Length Variance', 'Flow Duration', 'Flow IAT Mean']) AS "column")
+        SELECT "column", CASE WHEN "column" = 'Flow Duration' THEN (SELECT count(*) FROM broken WHERE syn = 3 OR duration IS NOT NULL)
+          ELSE (SELECT count(*) FROM broken) END AS present,
+          CASE WHEN "column" = 'Flow Duration' THEN (SELECT count(*) FROM broken WHERE syn = 3) ELSE 0 END AS unparsable,
+          CASE WHEN "column" = 'Flow Duration' THEN (SELECT 'n/a ' || min(flow_id) FROM broken WHERE syn = 3) END AS example FROM c""",
     "load_report": f"""WITH {BROKEN} SELECT label_text AS "Label", count(*) AS rows, CAST(11 AS INTEGER) AS columns
         FROM broken GROUP BY ALL""",
     "read_packets": f"WITH {PACKETS} SELECT src_ip, epoch_us(ts) AS ts, proto, tcp_syn, tcp_ack, pkt_len FROM packets",
@@ -376,8 +453,9 @@ ORACLES: dict[str, str] = {
           SELECT ts, CAST((CAST(src_ip AS HUGEINT) * 2654435761) % 4294967296 AS BIGINT) AS address FROM packets)
         SELECT epoch_us(ts) AS ts, address, {_IP.format(v='address')} AS text, address AS back FROM a""",
     "ip_to_int_value": f"""WITH {PACKETS} SELECT epoch_us(ts) AS ts,
-        CASE WHEN proto = 1 THEN {_IP.format(v='src_ip')} || '.9' ELSE {_IP.format(v='src_ip')} END AS text,
-        CASE WHEN proto = 1 THEN 0 ELSE src_ip END AS value FROM packets""",
+        CASE proto WHEN 1 THEN {_IP.format(v='src_ip')} || '.9' WHEN 17 THEN '0' || {_IP.format(v='src_ip')}
+          ELSE {_IP.format(v='src_ip')} END AS text,
+        CASE WHEN proto IN (1, 17) THEN 0 ELSE src_ip END AS value FROM packets""",
     # flow expressions
     "clean_flows": f"WITH {BROKEN} SELECT {_BRIEF} FROM clean",
     "clean_flows_keep_copies": f"WITH {BROKEN} SELECT {_BRIEF} FROM kept",
@@ -403,13 +481,16 @@ ORACLES: dict[str, str] = {
     # joins
     "blacklist_filter": f"WITH {MARKED} SELECT src_ip, epoch_us(ts) AS ts, pkt_len FROM marked WHERE NOT dropped",
     "blacklist_dropped": f"WITH {MARKED} SELECT src_ip, epoch_us(ts) AS ts, pkt_len FROM marked WHERE dropped",
-    "compare_predictions": f"""WITH {PRED}, b AS (SELECT DISTINCT id, round(score, 2) AS s2 FROM pred)
-        SELECT count(*) AS rows, round(avg(CASE WHEN prediction = CAST(s2 > 0.5 AS INTEGER) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6)
-          AS match_rate, round(max(abs(score - s2)), 6) AS max_abs_diff,
-          avg(CASE WHEN prediction = CAST(s2 > 0.5 AS INTEGER) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.99 AS passed
-        FROM pred JOIN b USING (id)""",
-    "join_truth": f"""WITH {PRED}, t AS (SELECT DISTINCT id, label AS truth FROM pred)
-        SELECT pred.id, t.truth AS label, prediction, score FROM pred JOIN t ON pred.id = t.id""",
+    "compare_predictions": f"""WITH {PRED}, b AS (SELECT DISTINCT id, round(score, 2) AS s2 FROM pred WHERE id NOT LIKE '%7'),
+        j AS (SELECT *, CASE WHEN prediction = CAST(s2 > 0.5 AS INTEGER) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS same
+              FROM pred FULL JOIN b USING (id))
+        SELECT count(*) AS rows, count(*) FILTER (WHERE s2 IS NULL OR score IS NULL) AS missing, round(avg(same), 6) AS match_rate,
+          round(max(abs(score - s2)), 6) AS max_abs_diff, avg(same) >= 0.99 AS passed FROM j""",
+    "join_truth": f"""WITH {PRED}, t AS (SELECT DISTINCT id, label AS truth FROM pred WHERE id NOT LIKE '%7'),
+        m AS (SELECT id, prediction, score FROM pred WHERE id NOT LIKE '%3')
+        SELECT id, coalesce(t.truth, -1) AS label, coalesce(prediction, -1) AS prediction, coalesce(score, -1) AS score,
+          t.truth IS NOT NULL AND score IS NOT NULL AS matched
+        FROM m FULL JOIN t USING (id)""",
     "detection_latency": f"""WITH {ALERTS}, a AS (
           SELECT src_ip, min(ts) AS attack_at FROM packets WHERE tcp_syn GROUP BY src_ip),
         j AS (SELECT a.src_ip, attack_at, min(timestamp) AS alert_at FROM a
@@ -518,7 +599,8 @@ ORACLES: dict[str, str] = {
     "attack_log_all": f"""WITH {POINTS}, newest AS (
           SELECT * FROM points WHERE is_attack = 'true' ORDER BY ts DESC, src_ip LIMIT 50)
         SELECT epoch_us(ts) AS ts, src_ip, {_rounded(POINT_FIELDS)} FROM newest""",
-    "rank_models": f"WITH {PRED}, r AS ({_RANK_MODELS}) SELECT * FROM r ORDER BY f1 DESC, inference_us, model LIMIT 1",
+    "rank_models": f"""WITH {PRED}, r AS ({_RANK_MODELS})
+        SELECT *, CAST(row_number() OVER (ORDER BY f1 DESC, inference_us, model) AS INTEGER) AS place FROM r""",
     "rank_importance": f"WITH {FLOW_TABLE} {_IMPORTANCE}",
     # block loop and replay
     "block_sources": f"""{_RECURSIVE} {VERDICTS} SELECT src_ip, us AS window_start, is_attack, state, blocked_until
@@ -530,15 +612,27 @@ ORACLES: dict[str, str] = {
             AND epoch_us(p.ts) >= v.ue AND epoch_us(p.ts) < v.until) AS dropped FROM packets p),
         t AS ({_throughput('m', '1 day', 'dropped')})
         SELECT epoch_us(window_start) AS window_start, total_pkts, total_bytes, total_dropped FROM t""",
-    # streaming: closed windows only
+    # streaming
     "stream_features": f"""WITH {FEATURES} SELECT src_ip, epoch_us(window_start) AS window_start,
-        {_rounded(FEATURE_NAMES)} FROM features WHERE epoch_us(window_end) {_CLOSED}""",
+        {_rounded(FEATURE_NAMES)} FROM features""",
     "stream_throughput": f"""WITH {PACKETS}, t AS ({_throughput('packets', '1 hour', 'false')})
-        SELECT epoch_us(window_start) AS window_start, total_pkts, total_bytes, total_dropped FROM t
-        WHERE epoch_us(window_end) {_CLOSED}""",
-    "stream_block": f"""{_RECURSIVE} {VERDICTS} SELECT src_ip, us AS window_start, state, blocked_until FROM verdicts
-        WHERE ue {_CLOSED}""",
-    "stream_alerts": f"{_RECURSIVE} {VERDICTS} {_VERDICT_ALERTS} AND v.ue {_CLOSED}",
+        SELECT epoch_us(window_start) AS window_start, total_pkts, total_bytes, total_dropped FROM t""",
+    "stream_late": f"""WITH {PACKETS}, seen AS (SELECT * FROM packets WHERE event_id % 10 <> 0 OR
+          epoch_us({_bucket('1 hour')}) + 3600000000 > (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events WHERE event_id % 10 > 1)),
+        t AS ({_throughput('seen', '1 hour', 'false')})
+        SELECT epoch_us(window_start) AS window_start, total_pkts, total_bytes, total_dropped FROM t""",
+    "stream_block": f"{_RECURSIVE} {VERDICTS} SELECT src_ip, us AS window_start, state, blocked_until FROM verdicts",
+    "stream_alerts": f"{_RECURSIVE} {VERDICTS} {_VERDICT_ALERTS}",
+    "stream_global_throughput": f"""{_RECURSIVE} {VERDICTS}, m AS (
+          SELECT p.*, EXISTS (SELECT 1 FROM verdicts v WHERE v.state = 'BLOCK' AND v.src_ip = p.src_ip
+            AND epoch_us(p.ts) >= v.ue AND epoch_us(p.ts) < v.until) AS dropped FROM packets p),
+        per_window AS ({_throughput('m', '1 day', 'dropped')})
+        SELECT epoch_us(window_start) AS window_start, total_pkts, total_bytes, total_dropped, {_CUM} FROM per_window""",
+    # frames
+    "frames_throughput": f"""WITH {_FRAMES_MARKED}, per_window AS ({_throughput('counted', '1 hour', 'dropped')})
+        SELECT epoch_us(window_start) AS window_start, total_pkts, total_bytes, total_dropped, {_CUM} FROM per_window""",
+    "frames_to_verdicts": f"""{_RECURSIVE} {VERDICTS.replace(PACKETS, _FRAME_PACKETS)}
+        SELECT src_ip, us AS window_start, is_attack, state, blocked_until FROM verdicts""",
     # sketches and key statistics
     "count_min_sketch": f"WITH {SKETCH} SELECT * FROM sk",
     "cms_estimate": f"""WITH {SKETCH}, k AS (SELECT src_ip, count(*) AS exact FROM packets GROUP BY src_ip),

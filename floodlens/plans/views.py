@@ -72,6 +72,16 @@ def broken_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.unionByName(again)
 
 
+def separable_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The broken flows with a label that one few-valued column decides.
+
+    A tree that learns it has pure leaves, whatever it makes of the other nine inputs, so
+    predictions, reports and importances have a definite value to be compared with.
+    """
+    attack = F.expr("CASE WHEN `SYN Flag Count` > 3 THEN 'DDoS' ELSE 'BENIGN' END")
+    return broken_flows(spark, sf_dir).withColumn("Label", attack)
+
+
 def predictions(spark: SparkSession, sf_dir: str, at: float = 0.5) -> DataFrame:
     """(id, label, score, prediction) with many tied scores."""
     return table(spark, sf_dir, "lineitem").selectExpr(

@@ -7,22 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-
-MODEL_QUERIES = {
-    "smote",
-    "train_tree",
-    "train_forest",
-    "train_boosted",
-    "grid_search",
-    "compare_models",
-    "save_and_load_best",
-    "feature_importance",
-    "permutation_importance",
-    "evaluate_best",
-    "score_with_model",
-    "distinct_sources_sketch",
-}
-
+from floodlens.plans.oracle import ORACLES
+from floodlens.plans.queries import QUERIES
 
 @pytest.fixture(scope="module")
 def duck(data):
@@ -32,9 +18,9 @@ def duck(data):
     return con
 
 
-def test_every_query_is_checked_or_listed():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == MODEL_QUERIES
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_every_query_is_checked():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
@@ -43,10 +29,10 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, data, name):
-    df = entry.queries()[name](spark, data)
-    rel = duck.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, data)
+    rel = duck.execute(ORACLES[name])
     columns = [d[0] for d in rel.description]
     assert sorted(df.columns) == sorted(columns)
     want = rel.fetchall()
