@@ -100,4 +100,4 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows that stay, with their own columns. Repeated rows of a kept id become one; rows
     without an id cannot be told apart and go."""
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])

@@ -297,6 +297,6 @@ def drop_unidentified(docs: DataFrame, min_share: float = MIN_SHARE, switch: flo
     """docs without those that have no letter or no language with a share of min_share; no lang column
     is changed."""
     model = learn_fold(docs)
-    kept = label(docs, model, switch, F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    kept = label(docs, model, switch, F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc"))
     kept = kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_share))
     return kept.select("doc.*")

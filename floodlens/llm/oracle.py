@@ -73,4 +73,46 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
-ORACLES = {"op3_secret_scan": OP3, "op10_exact_dedup": OP10}
+OP6 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    windows AS (
+        SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)
+    ),
+    repeated AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM repeated),
+    words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+    kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS said
+        FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+    )
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(said, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    strings AS (
+        SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+        FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)
+    ),
+    repeated AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS least FROM strings) WHERE least < doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM repeated),
+    spans AS (
+        SELECT doc_id, count(*) AS n, count(*) FILTER (p <> before + 1 OR before IS NULL) AS spans
+        FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id
+    ),
+    bytes AS (
+        SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS byte
+        FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)
+    ),
+    kept AS (
+        SELECT doc_id, string_agg(byte, '' ORDER BY p) AS said FROM bytes ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+    )
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(said, ''))) AS kept_sha256
+FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op3_secret_scan": OP3, "op6_substring_dedup": OP6, "op9_suffix_dedup": OP9, "op10_exact_dedup": OP10}

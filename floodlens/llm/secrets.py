@@ -172,24 +172,30 @@ def mask(docs: DataFrame, owner_col: str = "source", put: str = "[secret]") -> D
     """docs with every live-looking value replaced in its text, and n_chars to match where the
     column exists. Widely copied examples stay as they are, and so do all documents."""
     found = secrets(docs, owner_col=owner_col).where(F.size("live") > 0)
-    found = found.groupBy("doc_id").agg(F.first("live").alias("_live"))
+    found = found.groupBy("doc_id").agg(F.first("live").alias("live"))
+    whole = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc"))
+    joined = whole.join(found, F.col("doc.doc_id") == found["doc_id"], "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def walk(state: Column, x: Column) -> Column:
-        # Spans are ascending; one that begins inside the last is already covered as far as it goes.
+        # Spans are ascending; one that begins inside the last is covered as far as that goes.
         begin = F.greatest(state["at"], x["start"])
-        gap = F.substring(F.col("text"), state["at"] + 1, begin - state["at"])
+        gap = F.substring(F.col("doc.text"), state["at"] + 1, begin - state["at"])
         return F.when(x["end"] <= state["at"], state).otherwise(
             F.struct(x["end"].alias("at"), F.concat(state["out"], gap, F.lit(put)).alias("out"))
         )
 
     def finish(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.lit(2**31 - 1)))
-
-    joined = docs.join(found.withColumnRenamed("doc_id", "_found_id"), docs["doc_id"] == F.col("_found_id"), "left")
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(F.aggregate("_live", start, walk, finish))
-    masked = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        counted = F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
-        masked = masked.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
-    return masked.select(docs.columns)
+        return F.concat(state["out"], F.substring(F.col("doc.text"), state["at"] + 1, F.lit(2**31 - 1)))
+
+    masked = F.when(F.col("live").isNull(), F.col("doc.text")).otherwise(F.aggregate("live", start, walk, finish))
+    made = joined.select("doc", F.col("live").isNotNull().alias("changed"), masked.alias("masked"))
+    columns = []
+    for field in docs.schema.fields:
+        own = F.col("doc").getField(field.name)
+        if field.name == "text":
+            own = F.col("masked")
+        elif field.name == "n_chars":
+            own = F.when(F.col("changed"), F.char_length("masked").cast(field.dataType)).otherwise(own)
+        columns.append(own.alias(field.name))
+    return made.select(*columns)

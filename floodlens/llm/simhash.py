@@ -266,4 +266,4 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows without an id cannot be told apart and go."""
     groups = near_groups(docs, id_col=id_col, text_col=text_col)
     stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(stays, docs[id_col] == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    return docs.join(stays, docs[id_col] == stays["_kept_id"], "left_semi").dropDuplicates([id_col])

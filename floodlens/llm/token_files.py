@@ -88,6 +88,7 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     starts, packed = take("<u4", count).astype(np.int64), take("<u4", words)
     place, patch = take("u1", patches), take("<u4", patches)
     last = count if last is None else min(last, count)
+    first = min(first, last)
     out = np.zeros((last - first, BLOCK), np.uint32)
     for w in np.unique(width[first:last]).tolist():
         if not w:
