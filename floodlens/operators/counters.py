@@ -109,6 +109,11 @@ def _count_with_squares(
     )
 
 
+# Widest time slice that one task orders for one source: it bounds a flooding source's rows in
+# a task by its packet rate, whatever the length of the history.
+SLICE_US = 10_000_000
+
+
 def source_counters(packets: DataFrame, by_cpu: bool = False, with_iat_sq: bool = False) -> DataFrame:
     """Counters per source over everything given.
 
@@ -116,7 +121,7 @@ def source_counters(packets: DataFrame, by_cpu: bool = False, with_iat_sq: bool
     up; the default measures true gaps per source.
     """
     if with_iat_sq:
-        return _count_with_squares(packets, ["src_ip"], to_micros("1 hour"), by_cpu)
+        return _count_with_squares(packets, ["src_ip"], SLICE_US, by_cpu)
     return _count(packets, ["src_ip"], by_cpu)
 
 
@@ -138,8 +143,8 @@ def windowed_counters(
 
 
 def _slice_us(window: str) -> int:
-    """A window has at most 65 slices."""
-    return max(to_micros(window) // 64, 1)
+    """64 slices, or more where those would be longer than SLICE_US."""
+    return min(max(to_micros(window) // 64, 1), SLICE_US)
 
 
 def merge_counters(counters: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -111,51 +111,79 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     return edges.join(counted, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
 
 
-def _cumulative(pred: DataFrame, label: str, score: str, digits: int | None, slices: int) -> DataFrame:
-    """Per distinct score, descending: positives and negatives at and above it."""
+# Rows that one slice of the ordered scores stands for, and the least number of slices.
+SLICE_ROWS = 1_000_000
+LEAST_SLICES = 64
+
+
+def score_table(
+    pred: DataFrame, label: str = "label", score: str = "score", digits: int | None = None, slices: int | None = None
+) -> DataFrame:
+    """Per distinct score, descending: positives and negatives at and above it.
+
+    All curves and areas are made from this table. Written once, it can be given to each of
+    them as ``points``.
+    """
+    if slices is None:
+        slices = max(LEAST_SLICES, -(-pred.count() // SLICE_ROWS))
     s = F.col(score).cast("double")
     if digits is not None:
         s = F.round(s, digits)
     per_score = (
-        pred.select(s.alias("score"), F.col(label).cast("int").alias("_y"))
-        .groupBy("score")
+        # Not named as the input: an alias that changes nothing is dropped, and then both sides
+        # of the join in running_totals carry the input's own attribute.
+        pred.select(s.alias("_s"), F.col(label).cast("int").alias("_y"))
+        .groupBy("_s")
         .agg(
             F.sum(F.when(F.col("_y") == 1, 1).otherwise(0).cast("long")).alias("pos"),
             F.sum(F.when(F.col("_y") == 1, 0).otherwise(1).cast("long")).alias("neg"),
         )
     )
     cuts = cut_points(pred.select(F.col(score).cast("double").alias(score)), score, slices)
-    sliced = per_score.withColumn("_slice", F.lit(len(cuts)) - slice_of("score", cuts))
-    return running_totals(
-        sliced, "_slice", [F.desc("score")], {"pos": "tp", "neg": "fp"}, {"pos": "_p", "neg": "_n"}
-    ).drop("_slice")
+    sliced = per_score.withColumn("_slice", F.lit(len(cuts)) - slice_of("_s", cuts))
+    table = running_totals(
+        sliced, "_slice", [F.desc("_s")], {"pos": "tp", "neg": "fp"}, {"pos": "_p", "neg": "_n"}
+    )
+    return table.drop("_slice").withColumnRenamed("_s", "score")
 
 
 def roc_curve(
-    pred: DataFrame, label: str = "label", score: str = "score", digits: int | None = None, slices: int = 64
+    pred: DataFrame,
+    label: str = "label",
+    score: str = "score",
+    digits: int | None = None,
+    slices: int | None = None,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score and at the origin.
 
     ``digits`` rounds scores first, which makes the curve approximate.
     """
-    points = _cumulative(pred, label, score, digits, slices).select(
+    table = score_table(pred, label, score, digits, slices) if points is None else points
+    curve = table.select(
         F.col("score").alias("threshold"),
         F.expr(_ratio("fp", "_n")).alias("fpr"),
         F.expr(_ratio("tp", "_p")).alias("tpr"),
     )
-    return points.unionByName(_start(pred, {"fpr": 0.0, "tpr": 0.0}))
+    return curve.unionByName(_start(pred, {"fpr": 0.0, "tpr": 0.0}))
 
 
 def pr_curve(
-    pred: DataFrame, label: str = "label", score: str = "score", digits: int | None = None, slices: int = 64
+    pred: DataFrame,
+    label: str = "label",
+    score: str = "score",
+    digits: int | None = None,
+    slices: int | None = None,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """(threshold, precision, recall) at every distinct score and at recall 0."""
-    points = _cumulative(pred, label, score, digits, slices).select(
+    table = score_table(pred, label, score, digits, slices) if points is None else points
+    curve = table.select(
         F.col("score").alias("threshold"),
         F.expr(_ratio("tp", "tp + fp")).alias("precision"),
         F.expr(_ratio("tp", "_p")).alias("recall"),
     )
-    return points.unionByName(_start(pred, {"precision": 1.0, "recall": 0.0}))
+    return curve.unionByName(_start(pred, {"precision": 1.0, "recall": 0.0}))
 
 
 def _start(pred: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -167,20 +195,30 @@ def _start(pred: DataFrame, values: dict[str, float]) -> DataFrame:
 
 
 def roc_auc(
-    pred: DataFrame, label: str = "label", score: str = "score", digits: int | None = None, slices: int = 64
+    pred: DataFrame,
+    label: str = "label",
+    score: str = "score",
+    digits: int | None = None,
+    slices: int | None = None,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """Area under the ROC curve by trapezoids; NULL with one class only."""
-    rows = _cumulative(pred, label, score, digits, slices)
+    rows = score_table(pred, label, score, digits, slices) if points is None else points
     area = F.sum(F.col("neg").cast("double") * (2 * F.col("tp") - F.col("pos")).cast("double"))
     pairs = F.max("_p").cast("double") * F.max("_n").cast("double")
     return rows.agg(F.when(pairs > 0, area / (pairs * F.lit(2.0).cast("double"))).alias("roc_auc"))
 
 
 def average_precision(
-    pred: DataFrame, label: str = "label", score: str = "score", digits: int | None = None, slices: int = 64
+    pred: DataFrame,
+    label: str = "label",
+    score: str = "score",
+    digits: int | None = None,
+    slices: int | None = None,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """Precision averaged over recall steps, without interpolation."""
-    rows = _cumulative(pred, label, score, digits, slices)
+    rows = score_table(pred, label, score, digits, slices) if points is None else points
     step = F.col("pos").cast("double") * F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double")
     positives = F.max("_p").cast("double")
     return rows.agg(

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from floodlens.durations import to_interval
 from floodlens.functions.hashing import key_bucket
+from floodlens.session import materialize
 
 # --- fixed values: documented sketch size -------------------------------------
 DEPTH = 4
 WIDTH = 16384
 # ---------------------------------------------------------------------------
 
+# Buckets of a sketch that may be broadcast: about 8 MB.
+BROADCAST_WIDTH = 1 << 18
+
 
 def count_min_sketch(
     df: DataFrame, key: str, weight: Column | str | None = None, d: int = DEPTH, w: int = WIDTH
@@ -26,8 +30,10 @@ def count_min_sketch(
     places = F.array(
         *[F.struct(F.lit(i).alias("row"), key_bucket(key, i, w).alias("bucket")) for i in range(d)]
     )
+    # Per key first, so that a key is hashed once and not once per row.
+    per_key = df.select(key, amount.alias("_amount")).groupBy(key).agg(F.sum("_amount").alias("_amount"))
     return (
-        df.select(amount.alias("_amount"), F.inline(places))
+        per_key.select("_amount", F.inline(places))
         .groupBy("row", "bucket")
         .agg(F.sum("_amount").alias("count"))
     )
@@ -36,15 +42,17 @@ def count_min_sketch(
 def cms_estimate(keys: DataFrame, sketch: DataFrame, key: str, d: int = DEPTH, w: int = WIDTH) -> DataFrame:
     """Estimate per given key: the smallest of its counters, never below the truth.
 
-    One look-up join per sketch row. A row has at most ``w`` entries, so it is
-    always small enough to broadcast and the keys are not shuffled.
+    The sketch is turned once into one row per bucket number with ``d`` counters, written,
+    and looked up once for each of its rows. Up to BROADCAST_WIDTH buckets are broadcast; a
+    wider sketch is joined by bucket.
     """
+    wide = sketch.groupBy("bucket").agg(*[F.max(F.when(F.col("row") == i, F.col("count"))).alias(f"c{i}") for i in range(d)])
+    wide = materialize(wide, "sketch")
     probed = keys
     for i in range(d):
-        row = sketch.where(F.col("row") == i).select(
-            F.col("bucket").alias(f"_b{i}"), F.col("count").alias(f"_c{i}")
-        )
-        probed = probed.withColumn(f"_b{i}", key_bucket(key, i, w)).join(F.broadcast(row), f"_b{i}", "left")
+        row = wide.select(F.col("bucket").alias(f"_b{i}"), F.col(f"c{i}").alias(f"_c{i}"))
+        row = F.broadcast(row) if w <= BROADCAST_WIDTH else row
+        probed = probed.withColumn(f"_b{i}", key_bucket(key, i, w)).join(row, f"_b{i}", "left")
     counts = [F.coalesce(F.col(f"_c{i}"), F.lit(0).cast("long")) for i in range(d)]
     smallest = F.least(*counts) if d > 1 else counts[0]
     return probed.select(*keys.columns, smallest.alias("estimate"))

@@ -24,6 +24,7 @@ from floodlens.operators.metrics import (
     pr_curve,
     roc_auc,
     roc_curve,
+    score_table,
 )
 from floodlens.operators.models import (
     ModelSpec,
@@ -115,14 +116,15 @@ def train_and_select(
 def evaluate(test: DataFrame, model: PipelineModel, key: str = "flow_id") -> dict[str, DataFrame]:
     """Everything an evaluation reports, by name; scores are computed once."""
     scored = materialize(predict(test, model, [key, "label"]), "scored")
+    points = materialize(score_table(scored), "score-table")
     return {
         "classification_report": classification_report(scored),
         "confusion_matrix": confusion_matrix(scored),
         "metrics": binary_metrics(scored),
-        "roc_curve": roc_curve(scored),
-        "roc_auc": roc_auc(scored),
-        "pr_curve": pr_curve(scored),
-        "average_precision": average_precision(scored),
+        "roc_curve": roc_curve(scored, points=points),
+        "roc_auc": roc_auc(scored, points=points),
+        "pr_curve": pr_curve(scored, points=points),
+        "average_precision": average_precision(scored, points=points),
         "feature_importance": feature_importance(test.sparkSession, model),
         "permutation_importance": permutation_importance(test, model, key),
     }
