@@ -225,6 +225,41 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, switch:
 SPANS = ArrayType(StructType().add("start", "integer").add("end", "integer").add("lang", "string"))
 
 
+@dataclass
+class Labels:
+    """Of a batch of texts: the language's number (the number of languages: none), its share of the
+    letters, and spans as rows, places and language numbers."""
+
+    found: np.ndarray
+    score: np.ndarray
+    row: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    lang: np.ndarray
+
+
+def labels_of(texts: list[str], model: Model, switch: float) -> Labels:
+    words = Words(texts)
+    rows, kinds = len(texts), len(model.languages)
+    none = np.zeros(0, np.int64)
+    if not len(words.begin) or not kinds:
+        return Labels(np.full(rows, kinds), np.zeros(rows), none, none, none, none)
+    counts = np.bincount(words.row, minlength=rows)
+    some = np.flatnonzero(counts)
+    starts = np.cumsum(counts)[some] - counts[some]
+    best = viterbi(word_scores(words, model), starts, counts[some], switch)
+    letters = np.bincount(words.row * kinds + best, words.size, rows * kinds).reshape(rows, kinds)
+    total = letters.sum(axis=1)
+    found = np.where(total > 0, letters.argmax(axis=1), kinds)
+    score = letters.max(axis=1) / np.maximum(total, 1)
+    change = np.flatnonzero((np.diff(best, prepend=-1) != 0) | (np.diff(words.row, prepend=-1) != 0))
+    until = np.append(change[1:], len(best)) - 1
+    row = words.row[change]
+    return Labels(
+        found, score, row, words.begin[change] - words.rows[row], words.end[until] - words.rows[row], best[change]
+    )
+
+
 def label(docs: DataFrame, model: Model, switch: float = SWITCH, *keep: Column) -> DataFrame:
     """keep, then lang_pred, score, and spans (code points, end exclusive, language) of docs' text."""
     plain = docs.select(F.coalesce(docs["text"], F.lit("")).alias("text"), *keep)
@@ -234,39 +269,21 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH, *keep: Column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            words = Words(batch.column(0).to_pylist())
-            rows, kinds = len(batch), len(model.languages)
-            found = np.full(rows, kinds)
-            score = np.zeros(rows)
-            change = np.zeros(0, np.int64)
-            labels = np.zeros(0, np.int64)
-            if len(words.begin) and kinds:
-                counts = np.bincount(words.row, minlength=rows)
-                some = np.flatnonzero(counts)
-                starts = np.cumsum(counts)[some] - counts[some]
-                labels = viterbi(word_scores(words, model), starts, counts[some], switch)
-                letters = np.bincount(words.row * kinds + labels, words.size, rows * kinds).reshape(rows, kinds)
-                total = letters.sum(axis=1)
-                found = np.where(total > 0, letters.argmax(axis=1), kinds)
-                score = letters.max(axis=1) / np.maximum(total, 1)
-                new = (np.diff(labels, prepend=-1) != 0) | (np.diff(words.row, prepend=-1) != 0)
-                change = np.flatnonzero(new)
-            until = np.append(change[1:], len(labels)) - 1 if len(change) else change
-            row = words.row[change] if len(change) else np.zeros(0, np.int64)
+            made = labels_of(batch.column(0).to_pylist(), model, switch)
             spans = pa.StructArray.from_arrays(
                 [
-                    pa.array((words.begin[change] - words.rows[row]).astype(np.int32)),
-                    pa.array((words.end[until] - words.rows[row]).astype(np.int32)),
-                    pa.array(languages[labels[change]], pa.string()),
+                    pa.array(made.begin.astype(np.int32)),
+                    pa.array(made.end.astype(np.int32)),
+                    pa.array(languages[made.lang], pa.string()),
                 ],
                 ["start", "end", "lang"],
             )
-            offsets = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+            offsets = np.searchsorted(made.row, np.arange(len(batch) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[1:],
-                    pa.array(languages[found], pa.string()),
-                    pa.array(score),
+                    pa.array(languages[made.found], pa.string()),
+                    pa.array(made.score),
                     pa.ListArray.from_arrays(pa.array(offsets), spans),
                 ],
                 [*batch.schema.names[1:], "lang_pred", "score", "spans"],
@@ -294,9 +311,16 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, switch: float = SW
 
 
 def drop_unidentified(docs: DataFrame, min_share: float = MIN_SHARE, switch: float = SWITCH) -> DataFrame:
-    """docs without those that have no letter or no language with a share of min_share; no lang column
-    is changed."""
+    """docs without those that have no letter or no language with a share of min_share. Only the text
+    goes to Python and only a verdict comes back; rows and their columns stay as they are."""
     model = learn_fold(docs)
-    kept = label(docs, model, switch, F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc"))
-    kept = kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_share))
-    return kept.select("doc.*")
+
+    @F.arrow_udf("boolean")
+    def known(column: pa.Array) -> pa.Array:
+        verdicts = []
+        for batch in steps(iter([pa.RecordBatch.from_arrays([column], ["text"])])):
+            made = labels_of(batch.column(0).to_pylist(), model, switch)
+            verdicts.append((made.found < len(model.languages)) & (made.score >= min_share))
+        return pa.array(np.concatenate([np.zeros(0, bool), *verdicts]))
+
+    return docs.where(known(F.coalesce(docs["text"], F.lit(""))))
