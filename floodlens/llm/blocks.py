@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from floodlens.llm.common import id_and_text, part_of, parts_for, per_worker, range_cuts
 from floodlens.llm.token_files import pack, unpack
+from floodlens.session import materialize
 
 # Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -58,7 +59,8 @@ def copies(docs: DataFrame, cuts: list[int], id_col: str, text_col: str) -> Data
         F.md5(F.coalesce(docs[text_col], F.lit(""))).alias("digest"),
     )
     groups = plain.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    groups = groups.where("most > least").select("digest", "least")
+    # Written, so that the join below shuffles both sides for itself and a digest that many share can be split.
+    groups = materialize(groups.where("most > least").select("digest", "least"), "copies")
     start = F.conv(F.substring("digest", 1, 12), 16, 10).cast("long")
     found = plain.join(groups, "digest").select("doc_id", "least", start.alias("start"))
 
