@@ -376,6 +376,10 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT flow_id || '#' || i AS flow_id, label, true AS inside FROM made""",
     "smote_values": f"""WITH {_BALANCED} SELECT flow_id, "SYN Flag Count", "ACK Flag Count", label FROM train
         UNION ALL SELECT flow_id || '#' || i AS flow_id, "SYN Flag Count", "ACK Flag Count", label FROM made""",
+    "prepare_training": f"""WITH {CLEAN_TABLE}, t AS (SELECT CAST(syn > 3 AS INTEGER) AS label, {_IN_TEST} AS held FROM clean),
+        n AS (SELECT label, count(*) AS n FROM t WHERE NOT held GROUP BY label)
+        SELECT 'test' AS part, label, count(*) AS rows FROM t WHERE held GROUP BY label
+        UNION ALL SELECT 'train' AS part, label, (SELECT max(n) FROM n) AS rows FROM n""",
     "train_tree": f"{_LEARNED} FROM test",
     "train_forest": f"{_LEARNED} FROM test",
     "train_boosted": f"WITH {_TEST} SELECT flow_id, label, label AS prediction FROM test",

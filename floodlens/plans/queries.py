@@ -741,16 +741,36 @@ def replay_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- models -------------------------------------------------------------------
 
 
-def _ready(spark: SparkSession, sf_dir: str) -> training.Prepared:
+def _prepare(spark: SparkSession, sf_dir: str) -> training.Prepared:
     ready = training.prepare(views.separable_flows(spark, sf_dir))
     ready.train, ready.test = materialize(ready.train, "train"), materialize(ready.test, "test")
     return ready
 
 
+_PREPARED: dict[tuple[str, str], training.Prepared] = {}
+
+
+def _ready(spark: SparkSession, sf_dir: str) -> training.Prepared:
+    """Written train and test parts, made once per session and folder, so that the time of a model
+    query is that of its model; ``prepare_training`` always makes them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PREPARED:
+        _PREPARED[key] = _prepare(spark, sf_dir)
+    return _PREPARED[key]
+
+
 def _prediction_rows(ready: training.Prepared, model) -> DataFrame:
     return models.predict(ready.test, model, ["flow_id", "label"])
 
 
+@query
+def prepare_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning, features, split, balancing and scaling, without a model."""
+    ready = _prepare(spark, sf_dir)
+    parts = ready.train.withColumn("part", F.lit("train")).unionByName(ready.test.withColumn("part", F.lit("test")))
+    return parts.groupBy("part", "label").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def train_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = _ready(spark, sf_dir)
