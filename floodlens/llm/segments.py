@@ -22,7 +22,7 @@ import tiktoken
 from floodlens.llm.common import gather, raw
 
 # Entries that a worker remembers; then it starts afresh. Bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 # Segments over this size are encoded each time.
 REMEMBERED_BYTES = 64
 
