@@ -142,10 +142,9 @@ def last_value_of(series: DataFrame, value: str, limits: tuple[float, float] = D
 
 
 def score_timeline(points: DataFrame, limits: tuple[float, float] = SCORE_BANDS) -> DataFrame:
-    """Score per source over time with its band."""
-    return points.select("src_ip", "ts", "score", band(F.col("score"), limits).alias("band")).orderBy(
-        "src_ip", "ts"
-    )
+    """Score per source over time with its band; each source's points together and in order."""
+    banded = points.select("src_ip", "ts", "score", band(F.col("score"), limits).alias("band"))
+    return banded.repartition("src_ip").sortWithinPartitions("src_ip", "ts")
 
 
 def attack_log(points: DataFrame, n: int = 50, scope: str = "source") -> DataFrame:

@@ -331,6 +331,8 @@ _QUARTILES = (
     "quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75"
 )
 
+_IN_RANGE = "ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'"
+
 # Models that learn a label which one column decides: what they predict is that column's rule.
 _TEST = f"{CLEAN_TABLE}, test AS (SELECT flow_id, CAST(syn > 3 AS INTEGER) AS label, syn FROM clean WHERE {_IN_TEST})"
 _LEARNED = f"WITH {_TEST} SELECT flow_id, label, label AS prediction, CAST(label AS DOUBLE) AS score"
@@ -600,6 +602,11 @@ ORACLES: dict[str, str] = {
         CASE WHEN score >= 0.85 THEN 'red' WHEN score >= 0.5 THEN 'yellow' ELSE 'green' END AS band FROM points""",
     "attack_log": f"""WITH {POINTS} SELECT epoch_us(ts) AS ts, src_ip, {_rounded(POINT_FIELDS)} FROM points
         WHERE is_attack = 'true' QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY ts DESC) <= 3""",
+    "dashboard_scores": f"""WITH {POINTS} SELECT src_ip, epoch_us(ts) AS ts, score,
+        CASE WHEN score >= 0.85 THEN 'red' WHEN score >= 0.5 THEN 'yellow' ELSE 'green' END AS band FROM points WHERE {_IN_RANGE}""",
+    "dashboard_attacks": f"""WITH {POINTS} SELECT epoch_us(ts) AS ts, src_ip, {_rounded(POINT_FIELDS)} FROM points
+        WHERE is_attack = 'true' AND {_IN_RANGE} QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY ts DESC) <= 3""",
+    "dashboard_rate": _rate("cum_pkts").replace("FROM throughput)", f"FROM throughput WHERE {_IN_RANGE.replace('ts', 'window_end')})"),
     "attack_log_all": f"""WITH {POINTS}, newest AS (
           SELECT * FROM points WHERE is_attack = 'true' ORDER BY ts DESC, src_ip LIMIT 50)
         SELECT epoch_us(ts) AS ts, src_ip, {_rounded(POINT_FIELDS)} FROM newest""",

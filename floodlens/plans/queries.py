@@ -676,6 +676,36 @@ def attack_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DASHBOARD = ("2024-01-05 00:00:00", "2024-01-20 00:00:00")
+
+
+def _stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time range of a dashboard, read from telemetry stored by date."""
+    path = scratch_dir(spark, "telemetry-points")
+    sinks.write_telemetry(_points(spark, sf_dir), path)
+    return telemetry.in_range(sinks.read_telemetry(spark, path), *DASHBOARD)
+
+
+@query
+def dashboard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.score_timeline(_stored_points(spark, sf_dir)).select("src_ip", us("ts"), "score", "band")
+
+
+@query
+def dashboard_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.attack_log(_stored_points(spark, sf_dir), 3).select(
+        us("ts"), "src_ip", *rounded(telemetry.DETECTION_FIELDS)
+    )
+
+
+@query
+def dashboard_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "telemetry-global")
+    sinks.write_telemetry(telemetry.telemetry_global(_throughput(spark, sf_dir)), path)
+    points = telemetry.in_range(sinks.read_telemetry(spark, path), *DASHBOARD)
+    return telemetry.rate(points, "total_pkts").select(us("ts"), *rounded(["rate"], 9))
+
+
 @query
 def attack_log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.attack_log(_points(spark, sf_dir), 50, scope="all").select(
