@@ -34,6 +34,8 @@ from floodlens.llm.common import mix64, per_worker, steps
 # evenness of the hash).
 SAMPLE_ROWS = 4000
 BINS = 1 << 15
+# Text bytes that are labelled at a time: tables of n-gram scores are many times their size.
+LABEL_BYTES = 1 << 20
 # Natural-log cost of changing the language between two words.
 SWITCH = 8.0
 # A language is a candidate in a script that at least this share of its letters has.
@@ -155,7 +157,7 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), width), np.int64)
-        for batch in steps(batches):
+        for batch in steps(batches, most=LABEL_BYTES):
             words = Words(batch.column(1).to_pylist())
             if not len(words.begin):
                 continue
@@ -268,7 +270,7 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH, *keep: Column)
     languages = np.array([*model.languages, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, most=LABEL_BYTES):
             made = labels_of(batch.column(0).to_pylist(), model, switch)
             spans = pa.StructArray.from_arrays(
                 [
@@ -318,7 +320,7 @@ def drop_unidentified(docs: DataFrame, min_share: float = MIN_SHARE, switch: flo
     @F.arrow_udf("boolean")
     def known(column: pa.Array) -> pa.Array:
         verdicts = []
-        for batch in steps(iter([pa.RecordBatch.from_arrays([column], ["text"])])):
+        for batch in steps(iter([pa.RecordBatch.from_arrays([column], ["text"])]), most=LABEL_BYTES):
             made = labels_of(batch.column(0).to_pylist(), model, switch)
             verdicts.append((made.found < len(model.languages)) & (made.score >= min_share))
         return pa.array(np.concatenate([np.zeros(0, bool), *verdicts]))
