@@ -27,8 +27,8 @@ def table(spark):
 
 
 def test_grids_and_quick_mode():
-    names = [s for s in (md.TREE_GRID, md.FOREST_GRID, md.BOOSTED_LEVEL_GRID, md.BOOSTED_LEAF_GRID)]
-    assert [int(np.prod([len(v) for v in g.values()])) for g in names] == [12, 9, 54, 27]
+    names = [s for s in (md.TREE_GRID, md.FOREST_GRID, md.BOOSTED_GRID)]
+    assert [int(np.prod([len(v) for v in g.values()])) for g in names] == [12, 9, 54]
     spec = md.ModelSpec("x", None, {"a": [1, 2, 3], "b": [1, 2], "c": [4]}).quick()
     assert spec.grid == {"a": [1, 3], "b": [1, 2], "c": [4]}
 
@@ -48,7 +48,7 @@ def test_compare_save_load_explain(spark, table, tmp_path):
     assert name == best == md.rank_models(report).first()["model"]
     built_in = md.feature_importance(spark, model).collect()
     assert built_in[-1]["feature"] == "SYN Flag Count"
-    dropped = md.permutation_importance(test, model, "k", groups=4).collect()
+    dropped = md.permutation_importance(test, model, "k", group_rows=100).collect()
     assert len(dropped) == 10
     assert dropped[-1]["feature"] == "SYN Flag Count" and dropped[-1]["importance"] > 0.2
     unused = {r["feature"]: r["importance"] for r in built_in}
@@ -66,7 +66,7 @@ def test_scaler_travels_with_the_model(spark, table, tmp_path):
     a = md.predict(table, loaded, ["k"]).withColumnRenamed("score", "s1").drop("prediction")
     b = md.predict(table, plain, ["k"]).withColumnRenamed("score", "s2").drop("prediction")
     assert a.join(b, "k").where("abs(s1 - s2) > 0.02").count() <= 4
-    assert md.permutation_importance(table, loaded, "k", groups=4).count() == 10
+    assert md.permutation_importance(table, loaded, "k", group_rows=100).count() == 10
 
 
 def test_rank_models_breaks_ties(spark):
