@@ -112,12 +112,15 @@ def secrets(
     text_col: str = "text",
     owner_col: str = "source",
     max_owners: int = MAX_OWNERS,
-    max_repositories: int = MAX_REPOSITORIES,
+    max_repositories: int | None = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per row of docs: doc_id, base (spans), live (array of value spans by start), copied
-    (number of base spans whose value is a widely copied example)."""
+    (number of base spans whose value is a widely copied example). Without max_repositories owners
+    alone decide, however many repositories have the value."""
     found = materialize(scan(docs, id_col, text_col, owner_col), "secret-spans")
-    live_look = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    live_look = F.col("owners") <= max_owners
+    if max_repositories is not None:
+        live_look &= F.col("repositories") <= max_repositories
     judged = ownership(found).select("digest", live_look.alias("looks_live"))
     each = found.select("doc_id", F.explode("base").alias("span")).select("doc_id", "span", "span.digest")
     each = each.where("digest IS NOT NULL").join(judged, "digest")
@@ -170,8 +173,9 @@ def report(found: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame, owner_col: str = "source", put: str = "[secret]") -> DataFrame:
     """docs with every live-looking value replaced in its text, and n_chars to match where the
-    column exists. Widely copied examples stay as they are, and so do all documents."""
-    found = secrets(docs, owner_col=owner_col).where(F.size("live") > 0)
+    column exists. Values of several owners stay as they are, and so do all documents. A value of
+    one owner is masked in however many documents it stands: only op3 and its SQL count those."""
+    found = secrets(docs, owner_col=owner_col, max_repositories=None).where(F.size("live") > 0)
     found = found.groupBy("doc_id").agg(F.first("live").alias("live"))
     whole = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc"))
     joined = whole.join(found, F.col("doc.doc_id") == found["doc_id"], "left")

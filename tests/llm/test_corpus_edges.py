@@ -189,6 +189,14 @@ def test_owners_tell_examples_from_live_secrets(spark):
     assert secrets.mask(docs).columns == docs.columns
 
 
+def test_one_owner_s_value_is_masked_in_all_its_documents(spark):
+    rows = [(i, "key token=OWNERowner1234 end", None, "s1", 0, *MORE) for i in range(5)]
+    rows += [(9 + i, "key token=SHAREDshared12 end", None, f"s{i}", 0, *MORE) for i in range(2)]
+    masked = {r.doc_id: r.text for r in secrets.mask(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [masked[i] for i in range(5)] == ["key token=[secret] end"] * 5
+    assert masked[9] == masked[10] == "key token=SHAREDshared12 end"
+
+
 def test_language(spark, docs, nothing):
     rows = language.identify(docs).collect()
     assert len(rows) == docs.count()
