@@ -1,0 +1,203 @@
+"""Near copies by the exact Jaccard similarity of their five-word shingles.
+
+At a similarity of 0.8 about ten of 64 SimHash bits differ by estimate: a vantage-point
+tree can hardly rule anything out at such a radius. So candidates come from bands
+of min-hashes: `ROWS` least hashes of a text make one key, and a text has `BANDS` keys. A
+pair of similarity 0.8 shares a key with probability 0.9993, one of 0.3 with 0.017.
+
+Texts with equal shingle sets are one point. In `STARS` rounds the texts of a key are
+linked to its least and its greatest point, so that candidates grow with the texts and not
+with their square; a link counts only if the sets, built again from the texts, are similar
+enough. What is linked to neither end shares the key but is no copy, as texts around one
+passage are. Those of one key then meet in a task that indexes the rarest shingles of each
+(a prefix of every set, which two similar sets must share) and compares what meets there.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from floodlens.llm.common import id_and_text, raw, steps
+from floodlens.llm.components import components
+from floodlens.session import materialize
+
+SHINGLE = 5
+SIMILAR = 0.8
+BANDS, ROWS = 24, 6
+STARS = 2
+SEED = 42
+FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = np.random.default_rng(6).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Ascending different hashes of all shingles; a text of fewer words is one shingle."""
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    return np.unique(np.array([digest(x, SEED) for x in parts], np.uint64))
+
+
+def point_of(hashes: np.ndarray) -> int:
+    """A number for the whole set."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        some = hashes[at : at + 1024]
+        mixed = (some[None, :] ^ OFFSETS[:, None]) * FACTORS[:, None]
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * FACTORS[:, None]).min(axis=1))
+    bands = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(bands)]
+
+
+def signed(values: list[int]) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, point, keys)."""
+    plain = id_and_text(docs, id_col=id_col, text_col=text_col)
+    kind = plain.schema["doc_id"].dataType.simpleString()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            data, at = raw(batch.column(1))
+            points, keys = [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                hashes = shingle_set(data[a:b].tobytes(), shingle)
+                points.append(point_of(hashes))
+                keys.append(signed(band_keys(hashes)))
+            columns = [batch.column(0), pa.array(signed(points)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "point", "keys"])
+
+    return plain.mapInArrow(sketch, f"doc_id {kind}, point long, keys array<long>")
+
+
+def sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(point, hashes) of the points wanted, each by its one document (doc_id, point)."""
+    plain = id_and_text(docs, id_col=id_col, text_col=text_col).join(wanted, "doc_id")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            data, at = raw(batch.column(1))
+            found = [shingle_set(data[a:b].tobytes(), shingle) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            points = pa.array(signed([point_of(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([points, pa.array([x.tobytes() for x in found], pa.binary())], ["point", "hashes"])
+
+    built = plain.select("doc_id", "text").mapInArrow(build, "point long, hashes binary")
+    # A doc_id that stands for several texts gives other points too.
+    return built.join(wanted.select("point"), "point", "left_semi").dropDuplicates(["point"])
+
+
+def similar(edges: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """edges (a, b) whose sets are similar enough."""
+    own = edges.join(known.select(F.col("point").alias("a"), F.col("hashes").alias("x")), "a")
+    both = own.join(known.select(F.col("point").alias("b"), F.col("hashes").alias("y")), "b")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2), batch.column(3))
+            keep = [alike(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), threshold) for pair in pairs]
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= threshold * (len(x) + len(y) - shared)
+
+
+def linked(points: list[int], lists: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that join all similar sets of one key."""
+    sizes = np.array([len(x) for x in lists])
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    _, number, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    order = np.lexsort((number, counts[number], owner))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(int) + 1
+    kept = order[(place < prefix[owner]) & (counts[number[order]] > 1)]
+    kept = kept[np.argsort(number[kept], kind="stable")]
+    up, tried, out = list(range(len(lists))), set(), []
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for posting in np.split(owner[kept], np.flatnonzero(np.diff(number[kept])) + 1):
+        own = posting.tolist()
+        for k, i in enumerate(own):
+            for j in own[:k]:
+                if find(i) != find(j) and (j, i) not in tried:
+                    tried.add((j, i))
+                    if alike(lists[i], lists[j], threshold):
+                        up[find(i)] = find(j)
+                        out.append((points[i], points[j]))
+    return out
+
+
+def within_keys(open_: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of what is still open of each key."""
+    more = open_.groupBy("key").count().where("count > 1").select("key")
+    member = open_.join(more, "key").join(known, "point").select("key", "point", "hashes")
+
+    def judge(table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+        found = linked(table.column("point").to_pylist(), lists, threshold)
+        return pa.table({n: pa.array([x[i] for x in found], pa.int64()) for i, n in enumerate("ab")})
+
+    return member.groupBy("key").applyInArrow(judge, "a long, b long")
+
+
+def near_groups(
+    docs: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of docs: doc_id, component_id (smallest doc_id it can reach over links)."""
+    marked = materialize(sketches(docs, shingle, id_col, text_col), "near-sketches")
+    points = marked.groupBy("point").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    points = materialize(points, "near-points")
+    open_ = points.select("point", F.explode("keys").alias("key"))
+    links = None
+    for _ in range(STARS):
+        ends = open_.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high")).where("low < high")
+        ends = materialize(ends, "near-keys")
+        member = materialize(open_.join(ends, "key"), "near-members")
+        to = member.select("point", F.explode(F.array("low", "high")).alias("end")).where("point != end")
+        edges = to.select(F.greatest("point", "end").alias("a"), F.least("point", "end").alias("b")).distinct()
+        edges = materialize(edges, "near-candidates")
+        if edges.isEmpty():
+            break
+        asked = edges.select(F.explode(F.array("a", "b")).alias("point")).distinct()
+        wanted = points.join(asked, "point").select("point", F.col("least").alias("doc_id"))
+        known = materialize(sets(docs, wanted, shingle, id_col, text_col), "near-sets")
+        found = materialize(similar(edges, known, threshold), "near-links")
+        links = found if links is None else links.unionByName(found)
+        # A point that is linked to an end needs no other link by this key; the ends are done.
+        inner = member.where("point != low AND point != high")
+        done = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        done = done.select(F.col("a").alias("point"), F.col("b").alias("end"))
+        for end in ("low", "high"):
+            inner = inner.join(done.withColumnRenamed("end", end), ["point", end], "left_anti")
+        open_ = materialize(inner.select("point", "key"), "near-open")
+    else:
+        links = links.unionByName(materialize(within_keys(open_, known, threshold), "near-links"))
+    if links is None:
+        return marked.select("doc_id", F.col("doc_id").alias("component_id"))
+    rooted = points.join(components(links).select(F.col("node").alias("point"), "root"), "point", "left")
+    rooted = rooted.select("point", "least", F.coalesce("root", "point").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "point").join(rooted.join(named, "root").select("point", "component_id"), "point").drop("point")

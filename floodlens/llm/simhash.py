@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floodlens.llm import near
 from floodlens.llm.common import id_and_text, raw
 from floodlens.llm.components import components
 from floodlens.session import materialize
@@ -262,8 +263,9 @@ def near_groups(
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group stays: the one with the smallest id, its repeated rows once.
-    Rows without an id cannot be told apart and go."""
-    groups = near_groups(docs, id_col=id_col, text_col=text_col)
+    """One document of each group of near copies (`near`: 0.8 of all five-word shingles in common)
+    stays: the one with the smallest id, its repeated rows once. Rows without an id cannot be told
+    apart and go."""
+    groups = near.near_groups(docs, id_col=id_col, text_col=text_col)
     stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
     return docs.join(stays, docs[id_col] == stays["_kept_id"], "left_semi").dropDuplicates([id_col])

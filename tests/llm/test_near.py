@@ -1,0 +1,63 @@
+"""Near copies of the pipeline: exact Jaccard of five-word shingles."""
+
+import random
+
+import brute
+import numpy as np
+
+from floodlens.llm import near, simhash
+
+
+def shingles(text):
+    words = brute.WORD.findall(text.lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_light_edits_go_and_loose_ones_stay(spark):
+    rng = random.Random(4)
+    rows, linked = [], {}
+    for i in range(120):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(100, 250))]
+        text = " ".join(words)
+        for k in rng.sample(range(len(words)), round(len(words) * rng.choice([0.005, 0.01, 0.02, 0.03, 0.08]))):
+            words[k] = f"n{rng.randrange(9000)}"
+        rows += [(2 * i, text), (2 * i + 1, " ".join(words))]
+        linked[2 * i + 1] = jaccard(*(t for _, t in rows[-2:])) >= 0.8
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4)
+    kept = {r.doc_id for r in simhash.drop_near(docs).collect()}
+    assert kept == {d for d, _ in rows if not linked.get(d)}
+    assert 40 < sum(linked.values()) < 120
+
+
+def test_groups_with_other_texts_between_and_short_texts(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[:10 * i], "x", *base[10 * i + 1 :]])) for i in range(1, 29)]
+    rows += [(50, None), (51, ""), (52, "a b"), (53, "A b"), (54, "a c")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    assert sorted(r.doc_id for r in simhash.drop_near(docs).collect()) == [1, 50, 52, 54]
+    assert simhash.drop_near(docs.limit(0)).collect() == []
+
+
+def test_what_meets_in_a_key_is_linked_as_all_pairs_are():
+    rng = random.Random(6)
+    common, lists = rng.sample(range(10**6), 40), []
+    for _ in range(60):
+        base = common[: rng.randint(0, 40)] + rng.sample(range(10**6), rng.randint(1, 30))
+        lists += [base, base[rng.randint(0, 9) :] or base, base + [rng.randrange(10**6)]]
+    lists = [np.unique(np.array(x, np.uint64)) for x in lists]
+    up = list(range(len(lists)))
+
+    def groups(pairs):
+        up = list(range(len(lists)))
+        for a, b in pairs:
+            up = [up[a] if x == up[b] else x for x in up]
+        return {frozenset(i for i, x in enumerate(up) if x == y) for y in up}
+
+    sets = [set(x.tolist()) for x in lists]
+    every = [(i, j) for i in up for j in up[:i] if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert groups(near.linked(up, lists, 0.8)) == groups(every) and every
