@@ -21,6 +21,29 @@ def id_and_text(docs: DataFrame, *more: Column, id_col: str = "doc_id", text_col
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *more)
 
 
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """A column name that docs do not have, letter case aside."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def text_mark(text: Column) -> Column:
+    """Tells texts under one id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keep_marked(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id (null too) and text mark stand in kept (kept_id, kept_mark); repeated
+    rows once. Texts are shuffled once: the join and the last step share their keys."""
+    mark = free_name(docs, "_mark")
+    kept = kept.select("kept_id", "kept_mark").distinct()
+    marked = docs.withColumn(mark, text_mark(docs[text_col]))
+    same = marked[id_col].eqNullSafe(kept["kept_id"]) & (marked[mark] == kept["kept_mark"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, mark]).drop(mark)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of bounded text size, so memory does not depend on row lengths."""
     for batch in batches:

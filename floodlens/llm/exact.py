@@ -9,7 +9,7 @@ joined by an ordinary shuffle of (digest, doc_id).
 
 Null texts count as empty texts and are copies of each other. Rows that repeat both
 doc_id and text are one document: all of them are marked alike. A null doc_id never
-wins against another id. An empty table gives an empty result.
+wins against another id; of texts that differ in A-Z under one id, the largest mark wins. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodlens.llm.common import id_and_text, raw
+from floodlens.llm.common import id_and_text, keep_marked, raw, text_mark
 from floodlens.session import materialize
 
 # Counters of a Misra-Gries summary: the bound of the broadcast, and one over the
@@ -30,8 +30,8 @@ COUNTERS = 256
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of the text with A-Z in lower case."""
-    plain = id_and_text(docs, id_col=id_col, text_col=text_col)
+    """(doc_id, mark, digest): SHA-256 of the text with A-Z in lower case; mark is a hash of the text as it is."""
+    plain = id_and_text(docs, text_mark(docs[text_col]).alias("mark"), id_col=id_col, text_col=text_col)
     kind = plain.schema["doc_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,9 +39,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             data, at = raw(batch.column(1))
             ends = zip(at[:-1].tolist(), at[1:].tolist())
             found = [hashlib.sha256(data[a:b].tobytes().lower()).digest() for a, b in ends]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "digest"])
+            columns = [batch.column(0), batch.column(2), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "digest"])
 
-    return plain.mapInArrow(digest, f"doc_id {kind}, digest binary")
+    return plain.mapInArrow(digest, f"doc_id {kind}, mark long, digest binary")
 
 
 def shrink(counts: dict[bytes, int], counters: int) -> dict[bytes, int]:
@@ -77,27 +78,36 @@ def summaries(digest: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS
 ) -> DataFrame:
-    """One row per document: doc_id, keep_id (largest id of the equal texts), group_size, kept, digest."""
+    """One row per document: doc_id, keep_id (largest id of the equal texts), group_size, digest, kept, mark (hash of the text)."""
     digest = materialize(digests(docs, id_col, text_col), "digests")
     rows = digest.count()
     summary = [(x[0],) for x in summaries(digest, counters).select("digest").collect()]  # at most `counters`
     spark = docs.sparkSession
-    tally = (F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Nulls are the least ids.
+    best = F.max(F.struct("doc_id", "mark"))
+    tally = (
+        best["doc_id"].alias("keep_id"),
+        best["mark"].alias("keep_mark"),
+        F.count(F.lit(1)).alias("group_size"),
+    )
     suspects = spark.createDataFrame(summary, "digest binary")
     verified = digest.join(F.broadcast(suspects), "digest").groupBy("digest").agg(*tally)
     verified = verified.where(F.col("group_size") * counters > rows).collect()  # at most `counters`
     kind = digest.schema["doc_id"].dataType.simpleString()
-    winners = spark.createDataFrame(verified, f"digest binary, keep_id {kind}, group_size long")
+    winners = spark.createDataFrame(verified, f"digest binary, keep_id {kind}, keep_mark long, group_size long")
     marked = digest.join(F.broadcast(winners), "digest", "left")
-    rare = marked.where("group_size IS NULL").select("doc_id", "digest")
+    rare = marked.where("group_size IS NULL").select("doc_id", "mark", "digest")
     shuffled = rare.join(rare.groupBy("digest").agg(*tally), "digest")
-    columns = ["doc_id", "keep_id", "group_size", "digest"]
+    columns = ["doc_id", "mark", "keep_id", "keep_mark", "group_size", "digest"]
     both = marked.where("group_size IS NOT NULL").select(columns).unionByName(shuffled.select(columns))
-    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
+    return both.select("doc_id", "keep_id", "group_size", "digest", kept.alias("kept"), "mark")
 
 
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their own columns. Repeated rows of a kept id become one; rows
-    without an id cannot be told apart and go."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
+def drop_exact(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS
+) -> DataFrame:
+    """The rows that stay, with their own columns; repeated rows once. Different texts under one id
+    are judged apart. Of equal texts without any id, one stays."""
+    kept = exact_groups(docs, id_col, text_col, counters).where("kept")
+    return keep_marked(docs, kept.selectExpr("doc_id AS kept_id", "mark AS kept_mark"), id_col, text_col)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodlens.llm.common import id_and_text
+from floodlens.llm.common import id_and_text, text_mark
 from floodlens.session import materialize
 
 # Kinds in their order, patterns, the group that is the value, its least length.
@@ -85,12 +85,13 @@ def base_spans(text: Column, rank: int) -> Column:
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source"
 ) -> DataFrame:
-    """doc_id, owner, base: spans of all kinds by start, then kind."""
-    plain = id_and_text(docs, docs[owner_col].alias("owner"), id_col=id_col, text_col=text_col)
+    """doc_id, mark (hash of the text), owner, base: spans of all kinds by start, then kind."""
+    more = (docs[owner_col].alias("owner"), text_mark(docs[text_col]).alias("mark"))
+    plain = id_and_text(docs, *more, id_col=id_col, text_col=text_col)
     each = [base_spans(F.col("text"), rank).alias(KINDS[rank][0]) for rank in range(len(KINDS))]
-    found = plain.select("doc_id", "owner", *each)
+    found = plain.select("doc_id", "mark", "owner", *each)
     base = F.array_sort(F.concat(*(F.col(kind) for kind, *_ in KINDS)))
-    return found.select("doc_id", "owner", base.alias("base"))
+    return found.select("doc_id", "mark", "owner", base.alias("base"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -114,25 +115,30 @@ def secrets(
     max_owners: int = MAX_OWNERS,
     max_repositories: int | None = MAX_REPOSITORIES,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, base (spans), live (array of value spans by start), copied
+    """One row per row of docs: doc_id, mark, base (spans), live (array of value spans by start), copied
     (number of base spans whose value is a widely copied example). Without max_repositories owners
     alone decide, however many repositories have the value."""
     found = materialize(scan(docs, id_col, text_col, owner_col), "secret-spans")
     live_look = F.col("owners") <= max_owners
     if max_repositories is not None:
         live_look &= F.col("repositories") <= max_repositories
-    judged = ownership(found).select("digest", live_look.alias("looks_live"))
-    each = found.select("doc_id", F.explode("base").alias("span")).select("doc_id", "span", "span.digest")
+    # Written, so that the join below shuffles both sides for itself and a value in a third of all
+    # documents can be split.
+    judged = materialize(ownership(found).select("digest", live_look.alias("looks_live")), "owned-values")
+    each = found.select("doc_id", "mark", F.explode("base").alias("span"))
+    each = each.select("doc_id", "mark", "span", "span.digest")
     each = each.where("digest IS NOT NULL").join(judged, "digest")
     place = F.struct(F.col("span.value_start").alias("start"), F.col("span.end").alias("end"))
-    marks = each.groupBy("doc_id").agg(
+    marks = each.groupBy("doc_id", "mark").agg(
         F.array_sort(F.collect_set(F.when(F.col("looks_live"), place))).alias("live"),
         F.collect_set(F.when(~F.col("looks_live"), F.col("digest"))).alias("examples"),
     )
     none = F.array().cast("array<struct<start:int,end:int>>")
     copied = F.size(F.filter("base", lambda x: F.array_contains(F.col("examples"), x["digest"])))
-    return found.join(marks, "doc_id", "left").select(
+    marks = marks.withColumnsRenamed({"doc_id": "of_doc", "mark": "of_mark"})
+    return found.join(marks, F.expr("doc_id <=> of_doc AND mark = of_mark"), "left").select(
         "doc_id",
+        "mark",
         "base",
         F.coalesce("live", none).alias("live"),
         F.when(F.col("examples").isNull(), 0).otherwise(copied).alias("copied"),
@@ -176,9 +182,12 @@ def mask(docs: DataFrame, owner_col: str = "source", put: str = "[secret]") -> D
     column exists. Values of several owners stay as they are, and so do all documents. A value of
     one owner is masked in however many documents it stands: only op3 and its SQL count those."""
     found = secrets(docs, owner_col=owner_col, max_repositories=None).where(F.size("live") > 0)
-    found = found.groupBy("doc_id").agg(F.first("live").alias("live"))
-    whole = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc"))
-    joined = whole.join(found, F.col("doc.doc_id") == found["doc_id"], "left")
+    # Repeated rows may differ in owner: what is live for one of them is masked in all.
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("live"))))
+    found = found.groupBy("doc_id", "mark").agg(every.alias("live"))
+    doc = F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc")
+    whole = docs.select(doc, text_mark(docs["text"]).alias("own_mark"))
+    joined = whole.join(found, F.expr("doc.doc_id <=> doc_id AND own_mark = mark"), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def walk(state: Column, x: Column) -> Column:

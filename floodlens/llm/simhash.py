@@ -14,7 +14,9 @@ are: they are in one group already, and a branch with one group only is skipped.
 keeps large clouds of near copies from being compared pair by pair.
 
 Copies of one fingerprint are one point. Texts without words (empty, null, white space)
-have fingerprint zero and are linked like any other. An empty table gives an empty result.
+have fingerprint zero and are linked like any other. Rows without a doc_id are linked too, and
+name a group only where no row of it has an id. Rows may share a doc_id: each is judged by its
+own text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodlens.llm import near
-from floodlens.llm.common import id_and_text, raw
+from floodlens.llm.common import id_and_text, keep_marked, raw, text_mark
 from floodlens.llm.components import components
 from floodlens.session import materialize
 
@@ -65,8 +66,10 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 def fingerprints(
     docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, point): the fingerprint of the whole text as a signed 64-bit number."""
-    plain = id_and_text(docs, id_col=id_col, text_col=text_col)
+    """(doc_id, mark, point): the fingerprint of the whole text as a signed 64-bit number, and a
+    hash that tells texts under one id apart."""
+    mark = text_mark(docs[text_col]).alias("mark")
+    plain = id_and_text(docs, mark, id_col=id_col, text_col=text_col)
     kind = plain.schema["doc_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,9 +80,10 @@ def fingerprints(
                 fingerprint(data[a:b].tobytes().lower().split(), shingle) for a, b in zip(at[:-1].tolist(), at[1:].tolist())
             ]
             points = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points)], ["doc_id", "point"])
+            columns = [batch.column(0), batch.column(2), pa.array(points)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "point"])
 
-    return plain.mapInArrow(hashed, f"doc_id {kind}, point long")
+    return plain.mapInArrow(hashed, f"doc_id {kind}, mark long, point long")
 
 
 def distance(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -249,23 +253,32 @@ def linked_points(points: DataFrame, bits: int = BITS) -> DataFrame:
     return components(stars).select(F.col("node").alias("point"), "root")
 
 
+def _grouped(docs: DataFrame, bits: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, mark, point, and the first document of its group (null ids last)."""
+    marked = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "mark")).alias("first")
+    points = materialize(marked.groupBy("point").agg(first), "points")
+    roots = linked_points(points, bits)
+    rooted = points.join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("leader"))
+    known = rooted.join(named, "root").select("point", "leader")
+    return marked.join(known, "point")
+
+
 def near_groups(
     docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, point, component_id (smallest doc_id it can reach over links)."""
-    marked = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    points = materialize(marked.groupBy("point").agg(F.min("doc_id").alias("least")), "points")
-    roots = linked_points(points, bits)
-    rooted = points.join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(named, "root").select("point", "component_id")
-    return marked.join(known, "point").select("doc_id", "point", "component_id")
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near copies (`near`: 0.8 of all five-word shingles in common)
-    stays: the one with the smallest id, its repeated rows once. Rows without an id cannot be told
-    apart and go."""
-    groups = near.near_groups(docs, id_col=id_col, text_col=text_col)
-    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(stays, docs[id_col] == stays["_kept_id"], "left_semi").dropDuplicates([id_col])
+    found = _grouped(docs, bits, shingle, id_col, text_col)
+    return found.select("doc_id", "point", F.col("leader.doc_id").alias("component_id"))
+
+
+def drop_near(
+    docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One document of each group stays: the one with the smallest id, its repeated rows once. Of
+    several texts under that id in one group, the one with the smallest mark stays. A group
+    without any id keeps one text."""
+    found = _grouped(docs, bits, shingle, id_col, text_col)
+    stays = found.where("doc_id <=> leader.doc_id AND mark = leader.mark")
+    return keep_marked(docs, stays.selectExpr("doc_id AS kept_id", "mark AS kept_mark"), id_col, text_col)

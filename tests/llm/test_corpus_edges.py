@@ -67,7 +67,7 @@ def texts():
 
 def table(spark, rows=None, repeated=True):
     found = rows if rows is not None else list(enumerate(texts()))
-    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 5 else None, len(t or ""), *MORE) for i, t in found]
+    rows = [(i, t, "en" if (i or 0) % 2 else None, f"s{(i or 0) % 3}" if (i or 0) % 5 else None, len(t or ""), *MORE) for i, t in found]
     if repeated and rows:
         rows.append(rows[7])
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
@@ -334,3 +334,27 @@ def test_frequent_digests_are_found_and_broadcast(spark):
     assert bytes.fromhex(brute.sha(b"t0")) in {bytes(r.digest) for r in summary}
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_groups(docs, counters=10).collect()}
     assert got[0] == (2997, 1000) and got[1] == (1, 1) and len(got) == 3000
+
+
+def test_null_and_repeated_ids(spark):
+    secret = 'some text with token = "Ab3dEf6hIj9kLm" in it'
+    found = [
+        (None, "only text of a row without an id"),
+        (None, "only text of a row without an id"),
+        (1, "some other harmless text of a row that shares its id"),
+        (1, secret),
+        (None, "a text WITH an id elsewhere"),
+        (2, "a text with an id elsewhere"),
+        (3, "equal but for case"),
+        (3, "EQUAL but for case"),
+        (None, "twice without an id, ONCE so"),
+        (None, "twice without an id, once so"),
+    ]
+    ids = table(spark, found, False)
+    kept = sorted((r.text for r in exact.drop_exact(ids).collect()), key=str.lower)
+    assert [t.lower() for t in kept] == sorted({t.lower() for _, t in found})
+    assert "a text with an id elsewhere" in kept
+    assert len(simhash.drop_near(ids).collect()) == len(kept)
+    masked = sorted(r.text for r in secrets.mask(ids).collect())
+    assert masked == sorted(t.replace("Ab3dEf6hIj9kLm", "[secret]") for _, t in found)
+    assert exact.exact_groups(ids).count() == simhash.near_groups(ids).count() == len(found)
