@@ -115,4 +115,23 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesc
 FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op3_secret_scan": OP3, "op6_substring_dedup": OP6, "op9_suffix_dedup": OP9, "op10_exact_dedup": OP10}
+OP11 = """
+WITH e AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+        SELECT q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(q.v, e.v) AS BIGINT) AS score
+        FROM e AS q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0
+    ),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
+"""
+
+ORACLES = {
+    "op3_secret_scan": OP3,
+    "op6_substring_dedup": OP6,
+    "op9_suffix_dedup": OP9,
+    "op10_exact_dedup": OP10,
+    "op11_top_k_search": OP11,
+}

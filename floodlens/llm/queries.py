@@ -20,6 +20,7 @@ from floodlens.llm import (
     substrings,
     suffixes,
     token_files,
+    top_k,
 )
 
 
@@ -73,6 +74,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k.top_k(vectors, F.expr("vec_id % 20 = 0"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_fingerprints": op1_prefix_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -84,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack_sequences": op8_pack_sequences,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_top_k_search": op11_top_k_search,
 }
