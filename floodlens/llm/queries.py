@@ -17,6 +17,7 @@ from floodlens.llm import (
     prefix_hash,
     secrets,
     simhash,
+    spelling,
     substrings,
     suffixes,
     token_files,
@@ -79,6 +80,10 @@ def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(vectors, F.expr("vec_id % 20 = 0"), k=20)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_fingerprints": op1_prefix_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -91,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_top_k_search": op11_top_k_search,
+    "op12_spelling_variants": op12_spelling_variants,
 }
