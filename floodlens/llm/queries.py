@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodlens.llm import (
+    alignment,
     bpe_chunks,
     exact,
     language,
@@ -84,6 +85,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    paths = [public_tokenizers.path(name) for name in names]
+    return alignment.align(documents(spark, sf_dir), *paths, public_tokenizers.PATTERN).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_fingerprints": op1_prefix_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -97,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_top_k_search": op11_top_k_search,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_alignment": op13_token_alignment,
 }
