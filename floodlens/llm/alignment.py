@@ -33,15 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodlens.llm.common import STEP_BYTES, gather, id_and_text, per_worker, raw, steps
-from floodlens.llm.segments import LETTER, byte_encoder, segments, vocabulary
+from floodlens.llm.segments import LETTER, SPACE, byte_encoder, segments, vocabulary
 from floodlens.session import materialize
 
 # A block closes at so many bytes of text, links of different (document, pair), or documents.
 BLOCK_BYTES = 32 << 20
-BLOCK_LINKS = 6_000_000
+BLOCK_LINKS = 4_000_000
 BLOCK_DOCS = 1 << 16
 # Segments that a worker remembers; then it starts afresh. Bounds memory, not results.
 REMEMBERED = 200_000
+MANY = 0xFFFF
 
 # How pieces write a space and a byte.
 SPACE_MARK = "▁"
@@ -69,11 +70,14 @@ class Aligner:
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         plain = [x for i, x in enumerate(names) if not (self.pieces.is_control(i) or self.pieces.is_unknown(i) or self.pieces.is_byte(i))]
         # Pieces may not reach over the places where `segments` cuts, nor over a line end.
-        across = re.compile(rf"[^{SPACE_MARK}]{SPACE_MARK}|[\t-\r ]|[A-Za-z][!-@\[-`{{-~]")
+        across = re.compile(rf"[^{SPACE_MARK}]{SPACE_MARK}|[A-Za-z][!-@\[-`{{-~]")
         self.cut = not any(across.search(x) for x in plain)
-        self.line_end = not any("\n" in x for x in plain)
-        if not self.line_end:
+        held = set("".join(plain))
+        if "\n" in held:
             raise ValueError("a piece holds a line end")
+        # White space that pieces hold, as the \r of program texts, may stand inside a piece.
+        self.space = SPACE.copy()
+        self.space[[b for b in range(0x09, 0x0E) if chr(b) in held]] = False
         self.base = count
         self.forget()
 
@@ -137,7 +141,7 @@ class Aligner:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all segments, and the n + 1 places where rows begin."""
         if self.cut:
-            data, starts, rows = segments(column)
+            data, starts, rows = segments(column, self.space)
         else:
             data, at = raw(column)
             starts = at[:-1][np.diff(at) > 0]
@@ -217,45 +221,47 @@ class Block:
     """Documents of one task that are inverted together."""
 
     def __init__(self, number: int, most: int) -> None:
-        self.most = most
-        self.number, self.docs, self.bytes, self.links = number, 0, 0, 0
-        self.keys: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.number, self.most, self.docs, self.bytes, self.links = number, most, 0, 0, 0
+        # Pair (32 bits), ordinal (16), multiplicity (16; MANY: it stands in `many`).
+        self.found: list[np.ndarray] = []
+        self.many: dict[int, int] = {}
 
     def full(self) -> bool:
         return self.bytes >= BLOCK_BYTES or self.links >= BLOCK_LINKS or self.docs >= self.most
 
     def add(self, pair: np.ndarray, ordinal: np.ndarray, times: np.ndarray) -> None:
-        self.keys.append(pair.astype(np.uint64) << np.uint64(16) | ordinal.astype(np.uint64))
-        self.times.append(times)
+        keys = (pair << np.uint64(16) | ordinal.astype(np.uint64)) << np.uint64(16)
+        self.found.append(keys | np.minimum(times, MANY).astype(np.uint64))
+        high = times >= MANY
+        self.many.update(zip(keys[high].tolist(), times[high].tolist()))
         self.links += len(pair)
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys in order, each once, with their multiplicities."""
-        keys = np.concatenate([np.zeros(0, np.uint64), *self.keys])
-        times = np.concatenate([np.zeros(0, np.int64), *self.times])
-        if len(times) and times.max() < 1 << 16:
-            packed = np.sort(keys << np.uint64(16) | times.astype(np.uint64))
-            return packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        return keys[order], times[order]
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs, ordinals and multiplicities in order."""
+        keys = np.concatenate([np.zeros(0, np.uint64), *self.found])
+        self.found = []
+        keys.sort()
+        times = (keys & np.uint64(MANY)).astype(np.uint32)
+        high = np.flatnonzero(times == MANY)
+        times[high] = [self.many[k] for k in (keys[high] ^ np.uint64(MANY)).tolist()]
+        return (keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(16)).astype(np.uint16), times
 
     def postings(self, id_type: pa.DataType, base: int) -> Iterator[pa.RecordBatch]:
         """The block's pairs with popcounts, and its bitmaps: presence as plane 0, then the planes of the
         multiplicity less one, from the lowest digit."""
-        keys, times = self.merged()
-        ordinal = (keys & np.uint64(0xFFFF)).astype(np.uint16)
-        code = keys >> np.uint64(16)
-        new = np.diff(code, prepend=~np.uint64(0)) != 0
-        pair = np.cumsum(new) - 1
+        code, ordinal, times = self.merged()
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        pair = np.cumsum(new, dtype=np.int32) - 1
         codes = code[new].astype(np.int64)
         width = -(-self.docs // 8)
         entries, sparse, dense = [], [], []
-        more = times - 1
+        more = times - np.uint32(1)
         for plane in range(int(more.max(initial=0)).bit_length() + 1):
-            have = np.ones(len(keys), bool) if not plane else (more >> (plane - 1) & 1).astype(bool)
+            have = slice(None) if not plane else (more >> np.uint32(plane - 1) & np.uint32(1)).astype(bool)
             own, place = pair[have], ordinal[have]
-            who, n = np.unique(own, return_counts=True)
+            edge = np.flatnonzero(np.diff(own, prepend=-1, append=len(codes)))
+            who, n = own[edge[:-1]], np.diff(edge)
             entry = np.zeros(len(who), ENTRY)
             entry["pair"], entry["plane"], entry["n"], entry["dense"] = who, plane, n, 2 * n > width
             entries.append(entry)

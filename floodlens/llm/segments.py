@@ -36,10 +36,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def segments(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """UTF-8 bytes, starts of segments, and the index of each row's first segment (n + 1)."""
+def segments(column: pa.Array, before_which: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 bytes, starts of segments, and the index of each row's first segment (n + 1).
+    before_which: the white space bytes before which is cut."""
     data, rows = raw(column)
-    space = SPACE[data]
+    space = before_which[data]
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         before = data[:-1]
