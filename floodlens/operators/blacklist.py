@@ -85,7 +85,30 @@ def blacklist_filter(packets: DataFrame, blacklist: DataFrame, keep: str = "pass
 
 # --- detections to blocks ----------------------------------------------------
 
-_NEVER = np.iinfo(np.int64).min
+NEVER = np.iinfo(np.int64).min
+
+
+def judge_windows(
+    starts: np.ndarray, ends: np.ndarray, flags: np.ndarray, until: int, ttl_us: int
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Windows of one source in time order, after a block until then: codes of their states (0 passed,
+    1 blocks, 2 dropped), the block each is in (NEVER: none), and the end of the last block."""
+    n = len(starts)
+    state, blocked = np.zeros(n, dtype=np.int8), np.full(n, NEVER, dtype=np.int64)
+    hits = np.flatnonzero(flags)
+    at = int(np.searchsorted(starts, until))
+    state[:at] = 2
+    blocked[:at] = until
+    while True:
+        nxt = int(np.searchsorted(hits, at))
+        if nxt == len(hits):
+            return state, blocked, until
+        hit = int(hits[nxt])
+        until = PERMANENT_US if ttl_us == 0 else int(ends[hit]) + ttl_us
+        at = max(int(np.searchsorted(starts, until)), hit + 1)
+        state[hit] = 1
+        state[hit + 1 : at] = 2
+        blocked[hit:at] = until
 
 
 def _fold(batches: Iterator[pa.RecordBatch], ttl_us: int) -> Iterator[pa.RecordBatch]:
@@ -95,7 +118,7 @@ def _fold(batches: Iterator[pa.RecordBatch], ttl_us: int) -> Iterator[pa.RecordB
     long a source's history is. Sources without an attack and without a block from
     before are skipped in bulk.
     """
-    source, until = None, _NEVER
+    source, until = None, NEVER
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -106,7 +129,7 @@ def _fold(batches: Iterator[pa.RecordBatch], ttl_us: int) -> Iterator[pa.RecordB
         flag = batch.column("is_attack").to_numpy(zero_copy_only=False).astype(bool)
         carried = batch.column("_carry").to_numpy(zero_copy_only=False)
         state = np.zeros(n, dtype=np.int8)
-        blocked = np.full(n, _NEVER, dtype=np.int64)
+        blocked = np.full(n, NEVER, dtype=np.int64)
         edges = np.concatenate(([0], np.flatnonzero(np.diff(src)) + 1, [n]))
         attacks = np.concatenate(([0], np.cumsum(flag)))
         lows, highs = edges[:-1], edges[1:]
@@ -117,30 +140,17 @@ def _fold(batches: Iterator[pa.RecordBatch], ttl_us: int) -> Iterator[pa.RecordB
             low, high = lows[segment], highs[segment]
             if segment > 0 or not continues:
                 until = carried[low]
-            starts = start[low:high]
-            hits = np.flatnonzero(flag[low:high])
-            at = int(np.searchsorted(starts, until))
-            state[low : low + at] = 2
-            blocked[low : low + at] = until
-            while True:
-                nxt = int(np.searchsorted(hits, at))
-                if nxt == len(hits):
-                    break
-                hit = int(hits[nxt])
-                until = PERMANENT_US if ttl_us == 0 else int(end[low + hit]) + ttl_us
-                at = max(int(np.searchsorted(starts, until)), hit + 1)
-                state[low + hit] = 1
-                state[low + hit + 1 : low + at] = 2
-                blocked[low + hit : low + at] = until
+            own = slice(low, high)
+            state[own], blocked[own], until = judge_windows(start[own], end[own], flag[own], until, ttl_us)
         if not busy[-1]:
-            until = _NEVER
+            until = NEVER
         source = src[-1]
         passed_on = [c for c in batch.schema.names if c not in ("_start", "_end", "_carry")]
         yield pa.RecordBatch.from_arrays(
             [
                 *[batch.column(c) for c in passed_on],
                 pa.array(state),
-                pa.array(blocked, mask=blocked == _NEVER),
+                pa.array(blocked, mask=blocked == NEVER),
             ],
             names=[*passed_on, "_code", "_until"],
         )
@@ -165,20 +175,15 @@ def block_sources(
     a streamed pass over the sorted rows.
     """
     require(detections, ["src_ip", "window_start", "window_end", "is_attack"])
-    ttl_us, window_us = to_micros(ttl), to_micros(window)
-    if ttl_us % window_us:
-        raise ValueError("ttl must be a multiple of the window, or blocks would end inside one")
+    ttl_us = checked_ttl(ttl, window)
     if not blocking:
-        verdict = F.when(F.col("is_attack"), "ALERT").otherwise("PASS")
-        return detections.withColumn("state", verdict).withColumn(
-            "blocked_until", F.lit(None).cast("timestamp")
-        )
+        return without_blocks(detections)
     if carry is None:
-        carried = detections.withColumn("_carry", F.lit(int(_NEVER)).cast("long"))
+        carried = detections.withColumn("_carry", F.lit(int(NEVER)).cast("long"))
     else:
         known = carry.groupBy("src_ip").agg(F.unix_micros(F.max("blocked_until")).alias("_carry"))
         carried = detections.join(known, "src_ip", "left").withColumn(
-            "_carry", F.coalesce("_carry", F.lit(int(_NEVER)).cast("long"))
+            "_carry", F.coalesce("_carry", F.lit(int(NEVER)).cast("long"))
         )
     ordered = (
         carried.withColumn("is_attack", F.coalesce("is_attack", F.lit(False)))
@@ -200,6 +205,19 @@ def block_sources(
     )
 
 
+def checked_ttl(ttl: str | int, window: str) -> int:
+    ttl_us = to_micros(ttl)
+    if ttl_us % to_micros(window):
+        raise ValueError("ttl must be a multiple of the window, or blocks would end inside one")
+    return ttl_us
+
+
+def without_blocks(detections: DataFrame) -> DataFrame:
+    """Verdicts where attacks only raise alerts."""
+    verdict = F.when(F.col("is_attack"), "ALERT").otherwise("PASS")
+    return detections.withColumn("state", verdict).withColumn("blocked_until", F.lit(None).cast("timestamp"))
+
+
 def state_name(code: Column) -> Column:
     return F.when(code == 1, "BLOCK").when(code == 2, "DROPPED").otherwise("PASS")
 

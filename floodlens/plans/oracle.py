@@ -633,6 +633,11 @@ ORACLES: dict[str, str] = {
         t AS ({_throughput('seen', '1 hour', 'false')})
         SELECT epoch_us(window_start) AS window_start, total_pkts, total_bytes, total_dropped FROM t""",
     "stream_block": f"{_RECURSIVE} {VERDICTS} SELECT src_ip, us AS window_start, state, blocked_until FROM verdicts",
+    "stream_dropped": f"""{_RECURSIVE} {VERDICTS}
+        SELECT p.src_ip, epoch_us({_bucket('1 day')}) AS window_start, count(*) AS packets, CAST(sum(p.pkt_len) AS BIGINT) AS bytes
+        FROM packets p WHERE EXISTS (SELECT 1 FROM verdicts v WHERE v.state = 'BLOCK' AND v.src_ip = p.src_ip
+            AND epoch_us(p.ts) >= v.ue AND epoch_us(p.ts) < v.until)
+        GROUP BY ALL""",
     "stream_alerts": f"{_RECURSIVE} {VERDICTS} {_VERDICT_ALERTS}",
     "stream_global_throughput": f"""{_RECURSIVE} {VERDICTS}, m AS (
           SELECT p.*, EXISTS (SELECT 1 FROM verdicts v WHERE v.state = 'BLOCK' AND v.src_ip = p.src_ip

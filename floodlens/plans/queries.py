@@ -945,7 +945,7 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _block_stream(spark: SparkSession, sf_dir: str) -> str:
     folder, scorer = scratch_dir(spark, "blocks"), scoring.rule_score(**RULE)
-    loop = live.BlockLoop(folder, DAY, TTL)
+    log = live.VerdictLog(folder, DAY, TTL)
     run = live.stream_block(
         views.packet_stream(spark, sf_dir),
         folder,
@@ -955,10 +955,10 @@ def _block_stream(spark: SparkSession, sf_dir: str) -> str:
         AT,
         TTL,
         "1 hour",
-        on_batch=loop,
+        on_batch=log,
     )
     run.awaitTermination()
-    loop.finish(run, views.packets(spark, sf_dir), scorer, AT)
+    log.finish(run, views.packets(spark, sf_dir), scorer, AT)
     return folder
 
 
@@ -970,6 +970,13 @@ def stream_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stream_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets that the blocks of a live stream keep out, per source and window."""
+    dropped = live.read_stream_output(spark, _block_stream(spark, sf_dir), "dropped")
+    return dropped.select("src_ip", us("window_start"), "packets", "bytes")
+
+
 @query
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _block_stream(spark, sf_dir)

@@ -3,8 +3,10 @@
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from floodlens.operators import scoring
+from floodlens.operators.blacklist import blocks_of, mark_blacklisted
 from floodlens.plans.detection import judge
 from floodlens.sources.packets import read_packets
 from floodlens.sources.sinks import read_alerts
@@ -62,24 +64,77 @@ def test_block_stream_equals_batch_over_many_batches(spark, tmp_path):
     assert points.count() == got.where("state <> 'DROPPED'").count()
 
 
+def states_of(spark, out):
+    found = live.read_stream_output(spark, out, "verdicts").select("src_ip", "window_start", "state", "blocked_until")
+    return sorted(tuple(r) for r in found.collect())
+
+
 def test_repeated_batch_changes_nothing(spark, tmp_path):
+    """A batch that fails after its verdicts are written is run again from the checkpoint."""
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    write_in_order(spark, minute(), source, 5)
+    scorer = rule()
+
+    class Failing(live.VerdictLog):
+        def __call__(self, verdicts, batch_id):
+            super().__call__(verdicts, batch_id)
+            if batch_id == 3:
+                raise RuntimeError("lost")
+
+    def start(log):
+        stream = read_packets(spark, source, stream=True, maxFilesPerTrigger="1")
+        return live.stream_block(stream, out, checkpoint, scorer, "1 second", 0.5, "10 seconds", "1 second", on_batch=log)
+
+    failed = start(Failing(out, "1 second", "10 seconds"))
+    with pytest.raises(Exception, match="lost"):
+        failed.awaitTermination()
+    before = states_of(spark, out)
+    log = live.VerdictLog(out, "1 second", "10 seconds")
+    run = start(log)
+    run.awaitTermination()
+    log.finish(run, read_packets(spark, source), scorer, 0.5)
+    want = judge(read_packets(spark, source), scorer, "1 second", 0.5, "10 seconds")
+    assert set(before) < set(states_of(spark, out))
+    assert states_of(spark, out) == sorted(tuple(r) for r in want.select("src_ip", "window_start", "state", "blocked_until").collect())
+    with pytest.raises(RuntimeError, match="another run"):
+        live.stream_block(read_packets(spark, source, stream=True), out, str(tmp_path / "new"), scorer)
+
+
+def held_state(spark, checkpoint):
+    found = spark.read.format("statestore").option("stateVarName", "until").load(checkpoint)
+    return {r[0]: r[1] for r in found.selectExpr("user_map_key.src_ip", "user_map_value.until").collect()}
+
+
+def test_state_holds_open_blocks_only(spark, tmp_path):
+    """Ended blocks leave the store; blocks for good are written once."""
     source = str(tmp_path / "in")
-    write_in_order(spark, minute(), source, 1)
-    from floodlens.plans.detection import detect
-
-    found = detect(read_packets(spark, source), rule(), "1 second", 0.5)
-    loop = live.BlockLoop(str(tmp_path / "out"), "1 second", "10 seconds")
-    early = found.where(found.window_end <= START + timedelta(seconds=30))
-    late = found.where(found.window_end > START + timedelta(seconds=30))
-    loop(early, 0)
-    loop(late, 1)
-    first = live.read_stream_output(spark, loop.path, "verdicts").groupBy("state").count().collect()
-    loop(late, 1)
-    again = live.read_stream_output(spark, loop.path, "verdicts").groupBy("state").count().collect()
-    assert sorted(first) == sorted(again)
-    assert {r["state"]: r["count"] for r in first} == {"BLOCK": 8, "DROPPED": 54, "PASS": 60}
-    with pytest.raises(RuntimeError, match="batch 6"):
-        loop(late, 7)
+    write_in_order(spark, [r for r in minute() if r[0] != 1], source, 3)
+    for ttl, left in (("10 seconds", 0), (0, 1)):
+        checkpoint = str(tmp_path / f"cp{left}")
+        stream = read_packets(spark, source, stream=True, maxFilesPerTrigger="1")
+        run = live.stream_block(stream, str(tmp_path / f"out{left}"), checkpoint, rule(), "1 second", 0.5, ttl, "1 second")
+        run.awaitTermination()
+        assert len(held_state(spark, checkpoint)) == left
+        judged = [o for p in run.recentProgress for o in p["stateOperators"] if "transformWithState" in o["operatorName"]]
+        if ttl == 0:
+            # The flood in second 40 finds its source blocked since second 7.
+            assert [o["numRowsUpdated"] for o in judged].count(0) >= len(judged) - 1
+
+
+def test_live_drops_equal_a_replay_of_packets(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_in_order(spark, minute(), source, 4)
+    stream = read_packets(spark, source, stream=True, maxFilesPerTrigger="1")
+    log = live.VerdictLog(out, "1 second", "10 seconds")
+    run = live.stream_block(stream, out, str(tmp_path / "cp"), rule(), "1 second", 0.5, "10 seconds", "1 second", on_batch=log)
+    run.awaitTermination()
+    log.finish(run, read_packets(spark, source), rule(), 0.5)
+    packets = read_packets(spark, source)
+    verdicts = judge(packets, rule(), "1 second", 0.5, "10 seconds")
+    marked = mark_blacklisted(packets, blocks_of(verdicts)).where("dropped")
+    want = {r["src_ip"]: (r["n"], r["b"]) for r in marked.groupBy("src_ip").agg(F.count("*").alias("n"), F.sum("pkt_len").alias("b")).collect()}
+    got = live.read_stream_output(spark, out, "dropped").groupBy("src_ip").agg(F.sum("packets").alias("n"), F.sum("bytes").alias("b"))
+    assert {r["src_ip"]: (r["n"], r["b"]) for r in got.collect()} == want and want
 
 
 def test_late_packets_are_left_out(spark, tmp_path):
@@ -114,7 +169,7 @@ def test_last_windows_of_a_finite_run_are_closed(spark, tmp_path):
     source = str(tmp_path / "in")
     write_in_order(spark, minute(), source, 4)
     out, scorer = str(tmp_path / "out"), rule()
-    loop = live.BlockLoop(out, "1 second", "10 seconds")
+    loop = live.VerdictLog(out, "1 second", "10 seconds")
     stream = read_packets(spark, source, stream=True, maxFilesPerTrigger="1")
     run = live.stream_block(stream, out, str(tmp_path / "cp"), scorer, "1 second", 0.5, "10 seconds", "1 second", on_batch=loop)
     run.awaitTermination()
