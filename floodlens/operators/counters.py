@@ -109,6 +109,46 @@ def _count_with_squares(
     )
 
 
+def _stream_squares(packets: DataFrame, window: str) -> DataFrame:
+    """`_count_with_squares` on a stream, as two chained aggregations.
+
+    The first holds the different arrival instants of a source in one time slice, and is closed
+    with that slice; the second holds one row per slice of an open window. Squares of gaps add
+    up inside slices, and between neighbouring ones.
+    """
+    counts = [c for c in SUM_COUNTERS if c != "iat_sum_us"]
+    narrow = F.window("ts", f"{_stream_slice_us(window)} microseconds")
+    inside = "transform(slice(_at, 2, size(_at)), (x, i) -> double(x - _at[i]))"
+    sliced = (
+        classify_protocol(packets)
+        .groupBy("src_ip", narrow.alias("_slice"))
+        .agg(*counter_aggregates(counts), F.sort_array(F.collect_set(F.unix_micros("ts"))).alias("_at"))
+        .select(
+            "src_ip",
+            "_slice",
+            *counts,
+            F.expr("named_struct('first', _at[0], 'last', element_at(_at, -1))").alias("_ends"),
+            F.expr(f"aggregate({inside}, 0D, (a, g) -> a + g * g)").alias("_squares"),
+        )
+    )
+    between = "transform(slice(_all, 2, size(_all)), (x, i) -> double(x.first - _all[i].last))"
+    whole = sliced.groupBy("src_ip", F.window("_slice", to_interval(window)).alias("_w")).agg(
+        *[F.sum(c).alias(c) for c in counts],
+        F.sum("_squares").alias("_squares"),
+        F.sort_array(F.collect_list("_ends")).alias("_all"),
+    )
+    return whole.select(
+        "src_ip",
+        F.col("_w.start").alias("window_start"),
+        F.col("_w.end").alias("window_end"),
+        *counts,
+        F.expr("timestamp_micros(_all[0].first)").alias("first_seen"),
+        F.expr("timestamp_micros(element_at(_all, -1).last)").alias("last_seen"),
+        F.expr("element_at(_all, -1).last - _all[0].first").alias("iat_sum_us"),
+        F.expr(f"_squares + aggregate({between}, 0D, (a, g) -> a + g * g)").alias("iat_sum_sq"),
+    )
+
+
 # Widest time slice that one task orders for one source: it bounds a flooding source's rows in
 # a task by its packet rate, whatever the length of the history.
 SLICE_US = 10_000_000
@@ -131,8 +171,12 @@ def windowed_counters(
     """Counters per source and tumbling window; gaps never cross a window border.
 
     Grouping is by the window struct itself, which keeps the event time of streams.
-    ``with_iat_sq`` adds the sum of squared gaps (batch only).
+    ``with_iat_sq`` adds the sum of squared gaps.
     """
+    if with_iat_sq and packets.isStreaming:
+        if by_cpu:
+            raise ValueError("squared gaps by CPU are for batches only")
+        return _stream_squares(packets, window)
     if with_iat_sq:
         return _count_with_squares(add_window(packets, window), WINDOW_KEYS, _slice_us(window), by_cpu)
     counted = _count(packets, ["src_ip", F.window("ts", to_interval(window)).alias("_w")], by_cpu)
@@ -147,6 +191,13 @@ def _slice_us(window: str) -> int:
     return min(max(to_micros(window) // 64, 1), SLICE_US)
 
 
+def _stream_slice_us(window: str) -> int:
+    """Slices of streams cut a window evenly: the width of 64 or the next possible number of them."""
+    width = to_micros(window)
+    least = max(64, -(-width // SLICE_US))
+    return next((width // n for n in range(least, min(4 * least, width) + 1) if width % n == 0), width)
+
+
 def merge_counters(counters: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merge partial counters: sums, earliest first_seen and latest last_seen.
 

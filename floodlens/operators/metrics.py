@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodlens.operators.ordered import cut_points, exact_quantiles, running_totals, slice_of
+from floodlens.operators.ordered import exact_quantiles, in_ranges, running_totals
 
 # Numerator and denominator of each class's scores over the four counts.
 _SCORES = {
@@ -139,10 +139,8 @@ def score_table(
             F.sum(F.when(F.col("_y") == 1, 0).otherwise(1).cast("long")).alias("neg"),
         )
     )
-    cuts = cut_points(pred.select(F.col(score).cast("double").alias(score)), score, slices)
-    sliced = per_score.withColumn("_slice", F.lit(len(cuts)) - slice_of("_s", cuts))
     table = running_totals(
-        sliced, "_slice", [F.desc("_s")], {"pos": "tp", "neg": "fp"}, {"pos": "_p", "neg": "_n"}
+        in_ranges(per_score, F.desc("_s"), slices, "_slice"), "_slice", [F.desc("_s")], {"pos": "tp", "neg": "fp"}, {"pos": "_p", "neg": "_n"}
     )
     return table.drop("_slice").withColumnRenamed("_s", "score")
 

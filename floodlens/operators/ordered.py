@@ -93,21 +93,14 @@ def running_totals(
     return df.join(offsets, slice_col).select(*df.columns, *running, *totals.values())
 
 
-def cut_points(df: DataFrame, column: str, pieces: int) -> list[float]:
-    """At most ``pieces - 1`` approximate quantiles, to slice by value.
+def in_ranges(df: DataFrame, order: Column, ranges: int, slice_col: str) -> DataFrame:
+    """Rows dealt to ranges of ``order``, with the number of their range: a slice for ``running_totals``.
 
-    Only the balance of the slices depends on them, never a result.
+    The sort's own sampled bounds cut the ranges, so no cut point passes the plan or the
+    driver. Written, since the numbers are only certain within one run.
     """
-    probs = [i / pieces for i in range(1, pieces)]
-    return sorted(set(df.approxQuantile(column, probs, 0.25 / pieces)))
-
-
-def slice_of(value: str, cuts: Sequence[float]) -> Column:
-    """How many cut points lie below the value; rises with the value."""
-    if not cuts:
-        return F.lit(0)
-    points = ", ".join(f"{float(c)!r}D" for c in cuts)
-    return F.expr(f"size(filter(array({points}), c -> c < {value}))")
+    dealt = df.repartitionByRange(ranges, order).withColumn(slice_col, F.spark_partition_id())
+    return materialize(dealt, "ranges")
 
 
 def _with_cuts(data: DataFrame, scope: list[str], found: DataFrame, cuts: int) -> DataFrame:

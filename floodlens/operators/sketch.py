@@ -86,6 +86,24 @@ def distinct_sources(
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "sources")
 
 
+def key_sketches(packets: DataFrame, window: str, key: str = "src_ip", lg_k: int = 14) -> DataFrame:
+    """One fixed-size sketch of the different keys per window, to be stored: batch or stream."""
+    w = F.window("ts", to_interval(window)).alias("w")
+    held = packets.groupBy(w).agg(F.hll_sketch_agg(key, lg_k).alias("sketch"))
+    return held.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "sketch")
+
+
+def roll_up_sketches(sketches: DataFrame, window: str) -> DataFrame:
+    """Stored sketches merged into longer windows, without the packets."""
+    w = F.window("window_start", to_interval(window)).alias("w")
+    held = sketches.groupBy(w).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return held.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "sketch")
+
+
+def sketch_counts(sketches: DataFrame) -> DataFrame:
+    return sketches.select("window_start", "window_end", F.hll_sketch_estimate("sketch").alias("sources"))
+
+
 def key_entropy(packets: DataFrame, window: str, key: str = "src_ip") -> DataFrame:
     """Shannon entropy (bits) of the packet share of the keys in every window.
 

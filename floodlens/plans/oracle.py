@@ -396,6 +396,8 @@ ORACLES: dict[str, str] = {
         SELECT *, 'DecisionTree' AS model FROM report""",
     "score_with_model": f"""WITH {DETECTIONS} SELECT src_ip, epoch_us(window_start) AS window_start,
         CAST(is_attack AS DOUBLE) AS score, is_attack FROM detections""",
+    "distinct_sources_rollup": f"""WITH {PACKETS} SELECT DISTINCT epoch_us({_bucket('1 day')}) AS window_start, true AS close
+        FROM packets""",
     "distinct_sources_sketch": f"""WITH {PACKETS} SELECT DISTINCT epoch_us({_bucket('1 day')}) AS window_start, true AS close
         FROM packets""",
     # sources and sinks
@@ -523,6 +525,10 @@ ORACLES: dict[str, str] = {
         CAST(coalesce(sum(iat_us), 0) AS BIGINT) AS iat_sum_us,
         round(coalesce(sum(CAST(iat_us AS DOUBLE) * iat_us), 0.0::DOUBLE) / 1e18, 6) AS iat_sq
         FROM gaps GROUP BY src_ip, window_start""",
+    "stream_gap_squares": f"""WITH {_GAPS} SELECT src_ip, epoch_us(window_start) AS window_start,
+        CAST(coalesce(sum(iat_us), 0) AS BIGINT) AS iat_sum_us,
+        round(coalesce(sum(CAST(iat_us AS DOUBLE) * iat_us), 0.0::DOUBLE) / 1e18, 6) AS iat_sq
+        FROM gaps GROUP BY src_ip, window_start""",
     "windowed_counters_by_cpu": f"""WITH {PACKETS}, c AS (
           SELECT src_ip, cpu, {_bucket('1 day')} AS window_start, {_counter_list(SPAN)} FROM packets GROUP BY ALL)
         SELECT src_ip, epoch_us(window_start) AS window_start,
@@ -628,6 +634,15 @@ ORACLES: dict[str, str] = {
         {_rounded(FEATURE_NAMES)} FROM features""",
     "stream_throughput": f"""WITH {PACKETS}, t AS ({_throughput('packets', '1 hour', 'false')})
         SELECT epoch_us(window_start) AS window_start, total_pkts, total_bytes, total_dropped FROM t""",
+    "stream_late_rows": f"""WITH {PACKETS}, w AS (
+          SELECT event_id % 10 AS turn, epoch_us(ts) AS us, {_bucket('1 hour')} AS ws,
+            (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events WHERE event_id % 10 > 1) AS first,
+            (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events WHERE event_id % 10 > 0) AS second
+          FROM packets),
+        j AS (SELECT *, CASE turn WHEN 1 THEN first WHEN 0 THEN second END AS passed FROM w),
+        k AS (SELECT *, coalesce(epoch_us(ws) + 3600000000 <= passed, false) AS late FROM j)
+        SELECT epoch_us(ws) AS window_start, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late,
+          coalesce(max(passed - us) FILTER (late), 0) AS latest_us FROM k GROUP BY ws""",
     "stream_late": f"""WITH {PACKETS}, seen AS (SELECT * FROM packets WHERE event_id % 10 <> 0 OR
           epoch_us({_bucket('1 hour')}) + 3600000000 > (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events WHERE event_id % 10 > 1)),
         t AS ({_throughput('seen', '1 hour', 'false')})

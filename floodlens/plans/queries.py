@@ -924,6 +924,44 @@ def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(us("window_start"), *telemetry.GLOBAL_FIELDS)
 
 
+def _arrivals(spark: SparkSession, packets: DataFrame, path: str) -> DataFrame:
+    """A stream of the packets in three batches by ``late``, each of as many files as there are cores."""
+    files = spark.sparkContext.defaultParallelism
+    for late in range(3):
+        packets.where(F.col("late") == late).drop("late").repartition(files).write.mode("append").parquet(path)
+    schema = packets.drop("late").schema
+    return packet_files.read_packets(spark, path, stream=True, schema=schema, maxFilesPerTrigger=str(files))
+
+
+@query
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same arrivals with late packets kept: per hour how many were on time and late, and the latest."""
+    path = scratch_dir(spark, "late-rows")
+    turn = "CASE event_id % 10 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS late"
+    packets = views.table(spark, sf_dir, "events").selectExpr(*views.PACKET_COLUMNS, turn)
+    run = live.split_late(_arrivals(spark, packets, f"{path}/in"), f"{path}/out", f"{path}/checkpoint", "1 hour", "1 hour")
+    run.awaitTermination()
+    kept = spark.read.parquet(f"{path}/out/packets/batch=*")
+    counted = kept.groupBy(F.window("ts", "1 hour")["start"].alias("window_start")).agg(
+        F.count_if(~F.col("late")).alias("on_time"),
+        F.count_if("late").alias("late"),
+        F.coalesce(F.max("lateness_us"), F.lit(0).cast("long")).alias("latest_us"),
+    )
+    return counted.select(us("window_start"), "on_time", "late", "latest_us")
+
+
+@query
+def stream_gap_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared gaps between packets on a stream; open windows are closed from the same packets."""
+    stream = live.stream_counters(views.packet_stream(spark, sf_dir), DAY, "1 hour", with_iat_sq=True)
+    closed, run = _streamed(spark, stream, "gap-squares")
+    rest = live.open_packets(run, views.packets(spark, sf_dir), DAY)
+    whole = closed.unionByName(ct.windowed_counters(rest, DAY, with_iat_sq=True).select(closed.columns))
+    return whole.select(
+        "src_ip", us("window_start"), "iat_sum_us", F.round(F.col("iat_sum_sq") / 1e18, 6).alias("iat_sq")
+    )
+
+
 @query
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the packets arrive last: only those of windows that were open then count.
@@ -933,9 +971,7 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "late-packets")
     turn = "CASE event_id % 10 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS late"
     packets = views.table(spark, sf_dir, "events").selectExpr(*views.PACKET_COLUMNS, turn)
-    for late in range(3):
-        packets.where(F.col("late") == late).drop("late").coalesce(1).write.mode("append").parquet(path)
-    arriving = packet_files.read_packets(spark, path, stream=True, schema=packets.drop("late").schema, maxFilesPerTrigger="1")
+    arriving = _arrivals(spark, packets, path)
     stream = live.stream_throughput(arriving, "1 hour", "1 hour")
     closed, run = _streamed(spark, stream, "late")
     rest = live.open_packets(run, packet_files.read_packets(spark, path, schema=arriving.schema), "1 hour")
@@ -1024,6 +1060,18 @@ def distinct_sources_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(us("window_start"), close.alias("close"))
 
 
+@query
+def distinct_sources_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored hourly sketches merged into days: within three of their standard errors of the exact number."""
+    packets = views.packets(spark, sf_dir)
+    stored = materialize(sketch.key_sketches(packets, "1 hour"), "sketches")
+    merged = sketch.sketch_counts(sketch.roll_up_sketches(stored, DAY)).withColumnRenamed("sources", "merged")
+    both = sketch.distinct_sources(packets, DAY, exact=True).join(merged, ["window_start", "window_end"])
+    error = 1.04 / 2**7  # one over the root of 2^14 buckets
+    close = F.abs(F.col("merged") - F.col("sources")) <= 3 * error * F.col("sources")
+    return both.select(us("window_start"), close.alias("close"))
+
+
 @query
 def key_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sketch.key_entropy(views.packets(spark, sf_dir), DAY)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,26 +15,53 @@ from pyspark.sql import types as T
 from floodlens.schemas import FLOW_TYPES
 
 
-def _header(spark: SparkSession, file: str) -> list[str]:
-    """Column names of one CSV file: its first line, read by the file system that holds it."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    stream = path.getFileSystem(conf).open(path)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
-        source = codec.createInputStream(stream) if codec is not None else stream
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
-    finally:
-        stream.close()
-    names = [n.strip() for n in next(csv.reader([line.lstrip("﻿")]))] if line else []
+def _names(record: list[str]) -> list[str]:
+    """Column names of a header: trimmed, a repeated name with a number, as common readers do."""
     seen: Counter[str] = Counter()
     out = []
-    for name in names:  # a repeated name gets a number, as common readers do
+    for name in (n.strip() for n in record):
         out.append(f"{name}.{seen[name]}" if seen[name] else name)
         seen[name] += 1
     return out
 
 
+def _first_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The header of a partition's file, if the partition begins it. Nothing after it is read."""
+
+    def lines() -> Iterator[str]:
+        for batch in batches:
+            if batch.num_rows and batch.column("start")[0].as_py():
+                return
+            if batch.num_rows and not files:
+                files.append(batch.column("file")[0].as_py())
+            yield from (f"{line}\n" for line in batch.column("value").to_pylist())
+
+    files: list[str] = []
+    record = next(csv.reader(lines()), None)
+    if record:
+        record[0] = record[0].lstrip("\ufeff")
+        yield pa.RecordBatch.from_arrays([pa.array(files), pa.array([_names(record)])], ["file", "header"])
+
+
+def headers(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(header, its files) for all CSV files of a path, read by one job with a task for each file, which
+    stops at the end of the first record. Quoted names may hold line ends. Empty files have no header."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
+    )
+    found = lines.mapInArrow(_first_record, "file string, header array<string>")
+    grouped = found.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    # Files whose opening costs a whole partition are not packed together.
+    cost = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(cost)
+    spark.conf.set(cost, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        rows = grouped.collect()
+    finally:
+        spark.conf.set(cost, before)
+    return sorted(((r["header"], r["files"]) for r in rows), key=lambda x: x[1][0])
+
+
 def _typed(name: str, kind: T.DataType) -> Column:
     """Text to the given type; whole numbers may be written as 3 or 3.0. NULL where it does not parse."""
     text = F.trim(f"`{name}`")
@@ -45,20 +74,16 @@ def _typed(name: str, kind: T.DataType) -> Column:
 def _as_text(spark: SparkSession, path: str) -> DataFrame:
     """All files of a path as text columns, matched by name: files are read in groups that share
     one header, so a column's place in a file does not matter."""
-    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(files):  # one row per file
-        header = tuple(_header(spark, file))
-        if header:
-            groups.setdefault(header, []).append(file)
+    groups = headers(spark, path)
     if not groups:
         raise ValueError(f"no CSV header below {path}")
     tables = [
         spark.read.option("header", True)
         .option("enforceSchema", True)
+        .option("multiLine", any("\n" in n for n in header))
         .schema(T.StructType([T.StructField(n, T.StringType()) for n in header]))
         .csv(own)
-        for header, own in groups.items()
+        for header, own in groups
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from floodlens.durations import to_interval
+from floodlens.durations import to_interval, to_micros
 from floodlens.operators.blacklist import (
     NEVER,
     block_sources,
@@ -40,10 +40,14 @@ DEFAULT_WATERMARK = "2 seconds"
 
 
 def stream_counters(
-    packets: DataFrame, window: str = DEFAULT_WINDOW, watermark: str = DEFAULT_WATERMARK
+    packets: DataFrame,
+    window: str = DEFAULT_WINDOW,
+    watermark: str = DEFAULT_WATERMARK,
+    with_iat_sq: bool = False,
 ) -> DataFrame:
-    """Counters per source and closed window; state is one row per open pair."""
-    return windowed_counters(packets.withWatermark("ts", to_interval(watermark)), window)
+    """Counters per source and closed window; state is one row per open pair. ``with_iat_sq`` adds
+    squared gaps, for which the instants of open time slices are held too."""
+    return windowed_counters(packets.withWatermark("ts", to_interval(watermark)), window, with_iat_sq=with_iat_sq)
 
 
 def stream_features(
@@ -271,6 +275,49 @@ def stream_block(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+class LateSplit:
+    """Keeps late packets as data: each batch is written once, with a mark on the rows whose window had
+    closed by the watermark of the batches before, and how late they are."""
+
+    def __init__(self, path: str, window: str = DEFAULT_WINDOW, watermark: str = DEFAULT_WATERMARK) -> None:
+        self.path, self.window, self.watermark = path, window, watermark
+
+    def __call__(self, packets: DataFrame, batch_id: int) -> None:
+        spark, seen = packets.sparkSession, f"{self.path}/seen/batch="
+        before = spark.read.parquet(f"{seen}{batch_id - 1}").first()["latest"] if batch_id else None
+        # Watermarks count in milliseconds.
+        passed = None if before is None else before // 1000 * 1000 - to_micros(self.watermark)
+        closes = F.unix_micros(F.window("ts", to_interval(self.window))["end"])
+        lateness = F.when(closes <= F.lit(passed).cast("long"), F.lit(passed).cast("long") - F.unix_micros("ts"))
+        rows = f"{self.path}/packets/batch={batch_id}"
+        marked = packets.withColumn("lateness_us", lateness).withColumn("late", F.col("lateness_us").isNotNull())
+        marked.write.mode("overwrite").parquet(rows)
+        latest = spark.read.parquet(rows).agg(F.max(F.unix_micros("ts")).alias("latest"))
+        if before is not None:
+            latest = latest.select(F.greatest("latest", F.lit(before)).alias("latest"))
+        latest.write.mode("overwrite").parquet(f"{seen}{batch_id}")
+
+
+def split_late(
+    packets: DataFrame,
+    path: str,
+    checkpoint: str,
+    window: str = DEFAULT_WINDOW,
+    watermark: str = DEFAULT_WATERMARK,
+    once: bool = True,
+) -> StreamingQuery:
+    """All packets of a stream below ``path/packets``, late ones marked, none lost."""
+    split = LateSplit(path, window, watermark)
+    writer = packets.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def dropped_as_late(query: StreamingQuery) -> int:
+    """Rows that a query's aggregations left out behind the watermark, from its recent progress."""
+    operators = [o for p in query.recentProgress for o in p["stateOperators"]]
+    return sum(o["numRowsDroppedByWatermark"] for o in operators)
+
+
 def window_totals(verdicts: DataFrame) -> DataFrame:
     """Passed packets and bytes, and dropped packets, per window. Packets of a source that is blocked at
     that moment are left out before anything is counted: their window is dropped as a whole."""

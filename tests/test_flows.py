@@ -5,12 +5,13 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from floodlens.operators import flows as fl
 from floodlens.operators.ordered import exact_quantiles, select_ranks
 from floodlens.operators.split import stratified_split
 from floodlens.schemas import FLOW_FEATURES
-from floodlens.sources.flows import parse_errors, read_flows
+from floodlens.sources.flows import headers, parse_errors, read_flows
 from floodlens.sources.sinks import read_splits, write_splits
 
 
@@ -166,3 +167,28 @@ def test_missing_columns_are_reported(spark):
     with pytest.raises(ValueError, match="Flow Duration"):
         fl.select_features(spark.range(1).withColumn("Label", F.lit("x")))
     assert fl.available(spark.range(1).withColumn("Flow Duration", F.lit(1.0))) == ["Flow Duration"]
+
+
+def test_headers_come_from_one_job(spark, tmp_path):
+    """Many files, two orders of columns, a packed file, an empty one, and a name over two lines."""
+    import gzip
+
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(40):
+        names, values = ("a,Label,b", f"{i},x,{i + 1}") if i % 2 else ("b,a,Label", f"{i + 1},{i},x")
+        (folder / f"{i:02}.csv").write_text(f"﻿{names}\n{values}\n" if i % 3 else f"{names}\n{values}\n")
+    (folder / "40.csv.gz").write_bytes(gzip.compress(b"a,Label,b\n40,x,41\n"))
+    (folder / "41.csv").write_text("")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    got = read_flows(spark, str(folder), {"a": T.LongType(), "b": T.LongType()})
+    assert len(tracker.getJobIdsForGroup("headers")) <= 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(i, i + 1) for i in range(41)]
+    assert len(headers(spark, str(folder))) == 2
+    long = tmp_path / "long.csv"
+    long.write_text('a,"two\nlines",Label\n1,2,x\n3,4,y\n')
+    rows = read_flows(spark, str(long))
+    assert rows.columns == ["a", "two\nlines", "Label"]
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", "2", "x"), ("3", "4", "y")]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from floodlens.operators import metrics as mt
 
@@ -88,3 +89,18 @@ def test_rows_that_one_scorer_lost_are_mismatches(spark):
     truth = spark.createDataFrame([(i, 0) for i in range(90, 110)], "id INT, label INT")
     joined = mt.join_truth(a, truth, "id")
     assert joined.count() == 110 and joined.where("matched").count() == 10
+
+
+def test_score_ranges_need_no_cut_points(spark):
+    """Running counts over many ranges; the plan holds no list of bounds."""
+    rows = spark.range(20000).selectExpr("double((id * 7919) % 20000) AS score", "int(id % 3 = 0) AS label")
+    table = mt.score_table(rows, slices=500)
+    plan = table._jdf.queryExecution().toString()
+    assert len(plan) < 20000 and plan.count("D,") == 0
+    got = table.orderBy(F.desc("score")).collect()
+    assert len(got) == 20000
+    tp = fp = 0
+    for r in got:
+        tp, fp = tp + r["pos"], fp + r["neg"]
+        assert (r["tp"], r["fp"]) == (tp, fp)
+    assert {(r["_p"], r["_n"]) for r in got} == {(tp, fp)}

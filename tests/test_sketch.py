@@ -55,3 +55,13 @@ def test_rate_threshold(spark):
     df = spark.createDataFrame([(1, 2000, START, START + timedelta(seconds=2)), (2, 2001, START, START + timedelta(seconds=2))],
                                "src_ip BIGINT, syn_count BIGINT, window_start TIMESTAMP, window_end TIMESTAMP")
     assert {r["src_ip"]: r["is_attack"] for r in sk.rate_threshold(df).collect()} == {1: False, 2: True}
+
+
+def test_stored_sketches_merge_into_longer_windows(spark):
+    rows = [(src, START + timedelta(hours=h)) for h in range(48) for src in range(h * 10, h * 10 + 300)]
+    packets = spark.createDataFrame(rows, "src_ip BIGINT, ts TIMESTAMP")
+    hours = sk.key_sketches(packets, "1 hour")
+    days = sk.sketch_counts(sk.roll_up_sketches(hours, "1 day")).orderBy("window_start").collect()
+    assert len(days) == 2
+    for row in days:
+        assert abs(row["sources"] - 530) <= 3 * 1.04 / 2**7 * 530

@@ -180,3 +180,39 @@ def test_last_windows_of_a_finite_run_are_closed(spark, tmp_path):
     totals = live.read_throughput(spark, out).orderBy("window_start").collect()
     assert len(totals) == 60 and totals[-1]["cum_pkts"] + totals[-1]["cum_dropped"] == len(minute())
     assert totals[-1]["cum_dropped"] == 5 * 54
+
+
+def test_squared_gaps_of_a_stream_equal_the_batch(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = minute() + [(5, START + timedelta(seconds=s, microseconds=7 * s), 17, False, False, 90) for s in range(0, 60, 3)]
+    write_in_order(spark, rows + rows[:40], source, 5)
+    stream = read_packets(spark, source, stream=True, maxFilesPerTrigger="1")
+    counted = live.stream_counters(stream, "10 seconds", "1 second", with_iat_sq=True)
+    run = live.write_stream(counted, str(tmp_path / "out"), str(tmp_path / "cp"))
+    run.awaitTermination()
+    got = spark.read.schema(counted.schema).parquet(str(tmp_path / "out"))
+    batch = windowed_counters(read_packets(spark, source), "10 seconds", with_iat_sq=True).select(got.columns)
+    want = batch.where(batch.window_end <= START + timedelta(seconds=58))
+    assert got.count() == want.count() == 5 * 3 + 2
+    assert got.exceptAll(want).count() == 0
+    with pytest.raises(ValueError, match="CPU"):
+        windowed_counters(stream, "10 seconds", by_cpu=True, with_iat_sq=True)
+
+
+def test_late_packets_are_kept_with_their_lateness(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = [(5, 3), (50, 3), (5, 4), (49, 1), (90, 1), (51, 2)]
+    for part in [second(1, sec, n) for sec, n in parts]:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    stream = read_packets(spark, source, stream=True, maxFilesPerTrigger="1")
+    live.split_late(stream, out, str(tmp_path / "cp"), "1 second", "2 seconds").awaitTermination()
+    kept = spark.read.parquet(f"{out}/packets/batch=*")
+    assert kept.count() == sum(n for _, n in parts)
+    late = {r["at"]: (r["n"], r["most"]) for r in kept.where("late").groupBy(F.unix_seconds("ts").alias("at")).agg(F.count("*").alias("n"), F.max("lateness_us").alias("most")).collect()}
+    first = int(START.timestamp())
+    # After second 50.02 the watermark stands at 48.02: the window of second 49 is open, that of 5 is not.
+    assert late == {first + 5: (4, 43_020_000), first + 51: (2, 37_000_000)}
+    # A batch that is run again reads the same watermark.
+    split = live.LateSplit(out, "1 second", "2 seconds")
+    split(read_packets(spark, source).where(F.unix_seconds("ts") == first + 51), 5)
+    assert spark.read.parquet(f"{out}/packets/batch=*").where("late").count() == 6
