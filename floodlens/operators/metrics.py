@@ -111,9 +111,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     return edges.join(counted, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
 
 
-# Rows that one slice of the ordered scores stands for, and the least number of slices.
+# Rows that one slice of the ordered scores stands for; there are as many slices as cores at least.
 SLICE_ROWS = 1_000_000
-LEAST_SLICES = 64
 
 
 def score_table(
@@ -125,7 +124,7 @@ def score_table(
     them as ``points``.
     """
     if slices is None:
-        slices = max(LEAST_SLICES, -(-pred.count() // SLICE_ROWS))
+        slices = max(pred.sparkSession.sparkContext.defaultParallelism, -(-pred.count() // SLICE_ROWS))
     s = F.col(score).cast("double")
     if digits is not None:
         s = F.round(s, digits)
