@@ -9,9 +9,10 @@ A first round finds out which anchors occur in other blocks or more than once he
 their suffixes are sent. Splitters from a bounded sample of texts range-partition them by
 their leading bytes. A bucket sorts its suffixes by words of eight bytes, one after
 another and only where the words before are equal (a multikey quicksort with wide
-digits), compares neighbours, and takes the runs that agree for 24 bytes. Inside a run it
-compares the strings at each distance from the anchor, and answers which of them a
-smaller doc_id has. Runs do not cross buckets: splitters cut only between different
+digits), compares neighbours, and takes the runs that agree for 24 bytes. The bytes before
+the anchors are sorted once as well, backwards. Strings at one distance from the anchor are
+equal if both neighbourhoods agree far enough; the bucket answers which of them a smaller
+doc_id has. Runs do not cross buckets: splitters cut only between different
 leading bytes, and of equal suffixes with equal bytes before them a block sends one, with
 its smallest doc_id. So a suffix that a third of all documents share is one row for each block.
 
@@ -77,8 +78,8 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(sliding(np.maximum, around, SPREAD) == hashes)
 
 
-class Suffixes:
-    """The anchors of a block's documents that take part."""
+class Texts:
+    """The documents of a block; whole copies of earlier ones take no part."""
 
     def __init__(self, texts: pa.Table, answers: pa.Table) -> None:
         self.ids = texts.column("doc_id").to_numpy()
@@ -87,6 +88,13 @@ class Suffixes:
         same = known_copies(answers)
         ends = zip(self.ids.tolist(), self.rows[:-1].tolist(), self.rows[1:].tolist())
         self.copy = np.array([same_text(same, d, self.data[a:b]) not in (None, d) for d, a, b in ends], bool)
+
+
+class Suffixes(Texts):
+    """The anchors of a block's documents that take part."""
+
+    def __init__(self, texts: pa.Table, answers: pa.Table) -> None:
+        super().__init__(texts, answers)
         row, place, hashes = [], [], []
         for i in range(len(self.ids)):
             size = int(self.rows[i + 1] - self.rows[i])
@@ -133,6 +141,11 @@ class Suffixes:
         self.least = np.full(len(self.unique), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.entry, self.ids[self.row])
 
+    def places(self) -> np.ndarray:
+        """Of each anchor: its document's row, its place there, its entry, and whether an earlier document has the entry."""
+        later = self.ids[self.row] > self.least[self.entry]
+        return np.stack([self.row, self.place, self.entry, later]).astype("<i4")
+
 
 def words_of(rows: np.ndarray, size: int) -> list[np.ndarray]:
     """Leading `size` bytes of each row as big-endian numbers of eight bytes."""
@@ -165,50 +178,69 @@ def sort_rows(rows: np.ndarray) -> np.ndarray:
     return order
 
 
-def runs(rows: np.ndarray, size: int) -> np.ndarray:
-    """Number of the run of each sorted row; neighbours in a run agree for `size` bytes."""
-    if not len(rows):
-        return np.zeros(0, np.int64)
-    same = (rows[1:, :size] == rows[:-1, :size]).all(axis=1)
-    return np.concatenate([[0], np.cumsum(~same)])
+def common(rows: np.ndarray) -> np.ndarray:
+    """Leading bytes that each sorted row shares with the one before it; 0 for the first."""
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        other = rows[1:] != rows[:-1]
+        out[1:] = np.where(other.any(axis=1), other.argmax(axis=1), rows.shape[1])
+    return out
 
 
-def judge(table: pa.Table) -> pa.Table:
-    """One bucket: for every sent suffix, a bit for each distance whose string a smaller doc_id has."""
-    width = CONTEXT + 2
-    lists = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, width) for x in table.column("rows")]
-    least = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("least")])
-    sizes = [len(x) for x in lists]
-    rows = np.concatenate(lists)
+def in_company(sorted_classes: np.ndarray) -> np.ndarray:
+    """Whether a neighbour has the same class."""
+    same = np.zeros(len(sorted_classes) + 1, bool)
+    same[1:-1] = sorted_classes[1:] == sorted_classes[:-1]
+    return same[1:] | same[:-1]
+
+
+def found_before(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """A bit for each distance from the anchor whose string a smaller doc_id has.
+
+    Suffixes are sorted once, and the bytes before them, read backwards, once. Strings at one
+    distance are equal if their suffixes agree up to the string's end and the bytes before them down
+    to its start: two classes of neighbours, cut where they share fewer bytes.
+    """
     order = sort_rows(rows[:, :LENGTH])
-    rows, least = rows[order], least[order]
-    run = runs(rows, SEED_BYTES)
-    many = np.bincount(run)[run] > 1
+    # A suffix that shares no 24 bytes with a neighbour has no equal string.
+    own = order[in_company(np.cumsum(common(rows[order, :LENGTH]) < SEED_BYTES))]
     mark = np.zeros(len(rows), np.uint32)
-    own = np.flatnonzero(many)
-    if len(own):
-        around = np.concatenate([rows[own, LENGTH:CONTEXT], rows[own, :LENGTH]], axis=1)
-        left, right = rows[own, CONTEXT].astype(np.int64), rows[own, CONTEXT + 1].astype(np.int64)
-        doc = least[own]
-        for back in range(LEFT + 1):
-            fits = np.flatnonzero((left >= back) & (right >= LENGTH - back))
-            if len(fits) < 2:
-                continue
-            strings = around[fits, LEFT - back : CONTEXT - back]
-            # The run has the 24 bytes in common, so equal strings at this distance lie in one run.
-            inner = sort_rows(np.ascontiguousarray(strings))
-            number = np.zeros(len(fits), np.int64)
-            number[inner] = runs(strings[inner], LENGTH)
-            first = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(first, number, doc[fits])
-            hit = fits[first[number] < doc[fits]]
-            mark[own[hit]] |= np.uint32(1 << back)
-    back_to = np.zeros(len(rows), np.uint32)
-    back_to[order] = mark
-    ends = np.cumsum(sizes)
-    answers = [back_to[b - n : b].astype("<u4").tobytes() for b, n in zip(ends, sizes)]
+    if not len(own):
+        return mark
+    after = common(rows[own, :LENGTH])
+    before = np.ascontiguousarray(rows[own, LENGTH:CONTEXT][:, ::-1])
+    turn = sort_rows(before)
+    turned = common(before[turn])
+    left, right, doc = rows[own, CONTEXT], rows[own, CONTEXT + 1], least[own]
+    side = np.zeros(len(own), np.int64)
+    for back in range(LEFT + 1):
+        suffix = np.cumsum(after < LENGTH - back)
+        fits = np.flatnonzero((left >= back) & (right >= LENGTH - back))
+        fits = fits[in_company(suffix[fits])]
+        if not len(fits):
+            continue
+        side[turn] = np.cumsum(turned < back)
+        both = suffix[fits] * (len(own) + 1) + side[fits]
+        inner = np.argsort(both)
+        new = np.concatenate([[True], np.diff(both[inner]) != 0])
+        first = np.minimum.reduceat(doc[fits][inner], np.flatnonzero(new))
+        hit = np.zeros(len(fits), bool)
+        hit[inner] = first[np.cumsum(new) - 1] < doc[fits][inner]
+        mark[own[fits[hit]]] |= np.uint32(1 << back)
+    return mark
+
+
+def judge(table: pa.Table) -> pa.Table:
+    """One bucket: marks of every sent suffix. What a block keeps for itself comes back as it is."""
+    answers = table.column("rows")
+    if table.column("bucket")[0].as_py() >= 0:
+        lists = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, CONTEXT + 2) for x in table.column("rows")]
+        least = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("least")])
+        marks = found_before(np.concatenate(lists), least).astype("<u4")
+        ends = np.cumsum([len(x) for x in lists])
+        answers = pa.array([marks[b - len(x) : b].tobytes() for b, x in zip(ends, lists)], pa.binary())
     return pa.table(
-        [table.column("block"), table.column("round"), table.column("bucket"), pa.array(answers, pa.binary())],
+        [table.column("block"), table.column("round"), table.column("bucket"), answers],
         names=["block", "round", "bucket", "answer"],
     )
 
@@ -251,44 +283,41 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hashes = np.unique(Suffixes(texts, answers).hashes >> np.uint64(64 - bits))
         return asked_table(block, 1, list(ask(hashes, buckets, bits)))
 
-    def prepared(texts: pa.Table, answers: pa.Table) -> tuple[Suffixes, np.ndarray]:
+    def second(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        block = texts.column("block")[0].as_py()
         own = Suffixes(texts, answers)
         own.repeated(answers, buckets, bits)
         own.contexts()
         lead = words_of(own.unique, 8)[0] if len(own.unique) else np.zeros(0, np.uint64)
-        return own, np.searchsorted(split, lead, side="right")
-
-    def second(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        block = texts.column("block")[0].as_py()
-        own, bucket = prepared(texts, answers)
-        numbers, starts = np.unique(bucket, return_index=True)
-        ends = [*starts[1:].tolist(), len(bucket)]
-        parts = list(zip(numbers.tolist(), starts.tolist(), ends))
+        numbers, starts = np.unique(np.searchsorted(split, lead, side="right"), return_index=True)
+        ends = [*starts[1:].tolist(), len(lead)]
+        parts = [(2, n, own.unique[a:b], own.least[a:b]) for n, a, b in zip(numbers.tolist(), starts.tolist(), ends)]
+        # The anchors themselves travel beside, so that the last round need not look for them again.
+        parts.append((3, -1 - block, own.places(), np.zeros(0, np.int64)))
         return pa.table(
             [
                 pa.array([block] * len(parts), pa.int32()),
-                pa.array([2] * len(parts), pa.int32()),
-                pa.array([n for n, _, _ in parts], pa.int32()),
-                pa.array([own.unique[a:b].tobytes() for _, a, b in parts], pa.binary()),
-                pa.array([own.least[a:b].astype("<i8").tobytes() for _, a, b in parts], pa.binary()),
+                pa.array([kind for kind, _, _, _ in parts], pa.int32()),
+                pa.array([n for _, n, _, _ in parts], pa.int32()),
+                pa.array([rows.tobytes() for _, _, rows, _ in parts], pa.binary()),
+                pa.array([least.astype("<i8").tobytes() for _, _, _, least in parts], pa.binary()),
             ],
             names=["block", "round", "bucket", "rows", "least"],
         )
 
     def third(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        own, bucket = prepared(texts, answers)
+        own = Texts(texts, answers)
         two = answers.filter(pa.compute.equal(answers.column("round"), 2)).sort_by("bucket")
         marks = np.frombuffer(b"".join(x.as_py() for x in two.column("answer")), "<u4")
-        every = np.uint32((1 << (LEFT + 1)) - 1)
-        mark = marks[own.entry] if len(own.entry) else np.zeros(0, np.uint32)
+        kept = answers.filter(pa.compute.equal(answers.column("round"), 3)).column("answer")
+        row, place, entry, later = np.frombuffer(b"".join(x.as_py() for x in kept), "<i4").reshape(4, -1).astype(np.int64)
         # An equal suffix with equal bytes before it stands in an earlier document of this block.
-        mark = np.where(own.ids[own.row] > own.least[own.entry], every, mark) if len(mark) else mark
+        mark = np.where(later > 0, np.uint32((1 << (LEFT + 1)) - 1), marks[entry]) if len(entry) else np.zeros(0, np.uint32)
+        size = own.rows[row + 1] - own.rows[row] - place
         depth = np.zeros(len(own.data) + LENGTH + 1, np.int64)
-        at = own.rows[own.row] + own.place
         for back in range(LEFT + 1):
-            fits = (mark >> np.uint32(back) & np.uint32(1)).astype(bool)
-            fits &= (own.left >= back) & (own.right >= LENGTH - back)
-            starts = at[fits] - back
+            fits = (mark >> np.uint32(back) & np.uint32(1)).astype(bool) & (place >= back) & (size >= LENGTH - back)
+            starts = (own.rows[row] + place)[fits] - back
             np.add.at(depth, starts, 1)
             np.add.at(depth, starts + LENGTH, -1)
         gone = np.cumsum(depth)[: len(own.data)] > 0
