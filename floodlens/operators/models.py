@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import time
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import product
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from floodlens.functions.hashing import key_bucket, key_number
+from floodlens.operators.leafwise import LeafwiseBoosted
 from floodlens.operators.metrics import binary_metrics
 from floodlens.schemas import FLOW_FEATURES
 
@@ -34,6 +37,12 @@ BOOSTED_GRID = {
     "stepSize": [0.05, 0.1, 0.2],
     "subsamplingRate": [0.8, 1.0],
 }
+LEAFWISE_GRID = {
+    "maxIter": [100, 200, 300],
+    "maxDepth": [4, 6, 8],
+    "stepSize": [0.05, 0.1, 0.2],
+    "numLeaves": [31, 50, 80],
+}
 # ---------------------------------------------------------------------------
 
 
@@ -52,13 +61,13 @@ class ModelSpec:
 
 
 def model_specs() -> list[ModelSpec]:
-    """The compared models. MLlib grows boosted trees level by level only, so there is one
-    boosted model; its grid is the wider of the two fixed ones."""
+    """The compared models; boosted trees grow level by level (MLlib) or by their best leaf."""
     common = {"featuresCol": "features", "labelCol": "label", "seed": SEED}
     return [
         ModelSpec("DecisionTree", DecisionTreeClassifier(**common), TREE_GRID),
         ModelSpec("RandomForest", RandomForestClassifier(**common), FOREST_GRID),
         ModelSpec("Boosted", GBTClassifier(**common), BOOSTED_GRID),
+        ModelSpec("BoostedLeafwise", LeafwiseBoosted(labelCol="label"), LEAFWISE_GRID),
     ]
 
 
@@ -78,13 +87,13 @@ def minmax_stage(params: DataFrame) -> SQLTransformer:
 def pipeline_for(
     estimator: Estimator, features: Sequence[str] = FLOW_FEATURES, scaler: DataFrame | None = None
 ) -> Pipeline:
-    if scaler is None:
-        return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), estimator])
-    order = {r["feature"]: i for i, r in enumerate(scaler.select("feature").collect())}
-    scaled = [f"scaled_{order[f]}" for f in features]
-    return Pipeline(
-        stages=[minmax_stage(scaler), VectorAssembler(inputCols=scaled, outputCol="features"), estimator]
-    )
+    stages, inputs = [], list(features)
+    if scaler is not None:
+        order = {r["feature"]: i for i, r in enumerate(scaler.select("feature").collect())}
+        stages, inputs = [minmax_stage(scaler)], [f"scaled_{order[f]}" for f in features]
+    if isinstance(estimator, LeafwiseBoosted):
+        return Pipeline(stages=[*stages, estimator.copy({estimator.inputCols: inputs})])
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), estimator])
 
 
 def _fit(estimator, train: DataFrame, features: Sequence[str], scaler: DataFrame | None, params: dict):
@@ -110,6 +119,12 @@ def train_boosted(
     return _fit(GBTClassifier, train, features, scaler, params)
 
 
+def train_leafwise(
+    train: DataFrame, features: Sequence[str] = FLOW_FEATURES, scaler: DataFrame | None = None, **params
+) -> PipelineModel:
+    return pipeline_for(LeafwiseBoosted(labelCol="label", **params), features, scaler).fit(train)
+
+
 def _param_maps(estimator: Estimator, grid: dict[str, list]) -> list[dict]:
     names = list(grid)
     return [
@@ -159,11 +174,14 @@ def best_params(found: CrossValidatorModel) -> dict:
 
 def predict(df: DataFrame, model: PipelineModel, keep: Sequence[str] = ("label",)) -> DataFrame:
     """(kept columns, prediction 0/1, score)."""
-    return model.transform(df).select(
-        *keep,
-        F.col("prediction").cast("int").alias("prediction"),
-        F.get(vector_to_array("probability"), F.lit(1)).alias("score"),
-    )
+    scored = model.transform(df)
+    score = F.col("score") if scores_itself(model) else F.get(vector_to_array("probability"), F.lit(1))
+    return scored.select(*keep, F.col("prediction").cast("int").alias("prediction"), score.alias("score"))
+
+
+def scores_itself(model: PipelineModel) -> bool:
+    """Whether the last stage is SQL with a column `score`, not an MLlib model."""
+    return isinstance(model.stages[-1], SQLTransformer)
 
 
 def _folder_kb(spark: SparkSession, path: str) -> float:
@@ -245,8 +263,16 @@ def rank_importance(importance: DataFrame) -> DataFrame:
 def feature_importance(
     spark: SparkSession, model: PipelineModel, features: Sequence[str] = FLOW_FEATURES
 ) -> DataFrame:
-    """Built-in importance by feature name."""
-    values = model.stages[-1].featureImportances.toArray().tolist()
+    """Built-in importance by feature name; of best-leaf-first trees the share of all splits."""
+    if scores_itself(model):
+        scaled = {}
+        if len(model.stages) > 1:
+            scaled = {n: f for f, n in re.findall(r"CAST\(`([^`]+)` AS DOUBLE\) - .*? AS (scaled_\d+)", model.stages[0].getStatement())}
+        splits = re.findall(r"CAST\(`([^`]+)` AS DOUBLE\) <= ", model.stages[-1].getStatement())
+        found = Counter(scaled.get(name, name) for name in splits)
+        values = [found[f] / max(len(splits), 1) for f in features]
+    else:
+        values = model.stages[-1].featureImportances.toArray().tolist()
     return rank_importance(
         spark.createDataFrame(list(zip(features, values)), "feature STRING, importance DOUBLE")
     )
@@ -311,7 +337,7 @@ def permutation_importance(
 
 def _prepared(model: PipelineModel, df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Run all stages before the classifier on rows that hold features as an array."""
-    if len(model.stages) == 2:
+    if len(model.stages) == 2 and not scores_itself(model):
         return df.select("label", "feature", array_to_vector("_x").alias("features"))
     wide = df.select("label", "feature", *[F.get("_x", F.lit(i)).alias(n) for i, n in enumerate(names)])
     for stage in model.stages[:-1]:

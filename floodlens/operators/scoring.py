@@ -42,9 +42,9 @@ def score(features: DataFrame, model: PipelineModel | Column | Callable[..., Col
         return features.withColumn("score", model.cast("double"))
     if isinstance(model, PipelineModel):
         scored = model.transform(features)
-        return scored.select(
-            *features.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("score")
-        )
+        # A model that ends in SQL brings its score.
+        found = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in scored.columns else F.col("score")
+        return scored.select(*features.columns, found.alias("score"))
     packed = F.array(*[F.col(c).cast("float") for c in FEATURES])
     return features.withColumn("score", model(packed).cast("double"))
 

@@ -350,7 +350,8 @@ _COMPARED = f"""WITH {_TEST}, share AS (SELECT avg(label) AS p FROM test)
     0.0::DOUBLE AS fpr, '{{"maxDepth": 0}}' AS best_params FROM share
   UNION ALL {_perfect('DecisionTree', '{"maxDepth": 5, "minInstancesPerNode": 1}')}
   UNION ALL {_perfect('RandomForest', '{"numTrees": 10, "maxDepth": 10, "featureSubsetStrategy": "all"}')}
-  UNION ALL {_perfect('Boosted', '{"maxIter": 3, "maxDepth": 4}')}"""
+  UNION ALL {_perfect('Boosted', '{"maxIter": 3, "maxDepth": 4}')}
+  UNION ALL {_perfect('BoostedLeafwise', '{"maxIter": 3, "maxDepth": 4, "numLeaves": 31}')}"""
 
 
 def _salted(salt: str) -> str:
@@ -385,6 +386,7 @@ ORACLES: dict[str, str] = {
     "train_tree": f"{_LEARNED} FROM test",
     "train_forest": f"{_LEARNED} FROM test",
     "train_boosted": f"WITH {_TEST} SELECT flow_id, label, label AS prediction FROM test",
+    "train_leafwise": f"WITH {_TEST} SELECT flow_id, label, label AS prediction FROM test",
     "grid_search": f"{_LEARNED} FROM test",
     "compare_models": _COMPARED,
     "save_and_load_best": f"{_LEARNED}, 'DecisionTree' AS model FROM test",

@@ -821,9 +821,15 @@ def train_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prediction_rows(ready, models.train_boosted(ready.train, maxDepth=4, maxIter=10)).drop("score")
 
 
+@query
+def train_leafwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = _ready(spark, sf_dir)
+    return _prediction_rows(ready, models.train_leafwise(ready.train, maxDepth=4, maxIter=10, numLeaves=15)).drop("score")
+
+
 def _specs() -> list[models.ModelSpec]:
     """All kinds of models, with grids small enough for a query, and one that cannot learn."""
-    tree, forest, boosted = models.model_specs()
+    tree, forest, boosted, leafwise = models.model_specs()
     return [
         models.ModelSpec("Constant", tree.estimator, {"maxDepth": [0]}),
         models.ModelSpec(tree.name, tree.estimator, {"maxDepth": [5, 10], "minInstancesPerNode": [1]}),
@@ -831,6 +837,7 @@ def _specs() -> list[models.ModelSpec]:
             forest.name, forest.estimator, {"numTrees": [10], "maxDepth": [10], "featureSubsetStrategy": ["all"]}
         ),
         models.ModelSpec(boosted.name, boosted.estimator, {"maxIter": [3], "maxDepth": [4]}),
+        models.ModelSpec(leafwise.name, leafwise.estimator, {"maxIter": [3], "maxDepth": [4], "numLeaves": [31]}),
     ]
 
 
