@@ -263,6 +263,22 @@ def test_passages_and_strings_over_many_blocks(spark, monkeypatch, blocks):
     assert sorted(tuple(r) for r in suffixes.remove_repeated(docs).collect()) == sorted(brute.byte_strings(rows))
 
 
+def test_one_line_of_40_bytes_in_a_third_of_all_documents(spark, monkeypatch):
+    """The line alone is too short; it counts only where the text around it is the same as well."""
+    rng = random.Random(40)
+    line = "All rights reserved by their owners 2020"
+    assert len(line) == 40
+    rows = []
+    for i in range(300):
+        before, after = (words(rng, 12, "xyz") for _ in range(2))
+        middle = rng.choice(["", line, line[:30]]) if i % 3 else line
+        rows.append((i, f"{before[-rng.randint(0, 12):]}{middle}{rng.choice(['same end of it', after])}"))
+    monkeypatch.setattr("floodlens.llm.blocks.BLOCK_BYTES", sum(len(t) for _, t in rows) // 9 + 1)
+    got = sorted(tuple(r) for r in suffixes.remove_repeated(table(spark, rows, False)).collect())
+    assert got == sorted(brute.byte_strings(rows))
+    assert sum(r[2] > 0 for r in got) > 30
+
+
 def test_token_files(spark, docs, nothing):
     own = brute.tokenizer("word_bpe_49k.json")
     path = token_files.word_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
