@@ -48,10 +48,10 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
         )
     ),
     looks AS (
-        SELECT v, count(DISTINCT coalesce(source, '')) <= 1 AND count(DISTINCT doc_id) <= 3 AS live
+        SELECT v, count(DISTINCT coalesce(source, '')) <= 1 AS live, count(DISTINCT doc_id) AS repositories
         FROM base WHERE len(list_distinct(string_split(v, ''))) >= 6 GROUP BY v
     ),
-    marked AS (SELECT base.*, looks.live FROM base LEFT JOIN looks USING (v)),
+    marked AS (SELECT base.*, looks.live, looks.repositories FROM base LEFT JOIN looks USING (v)),
     every AS (
         SELECT doc_id, s, r, kind || ':' || s || ':' || e AS said FROM base
         UNION
@@ -60,7 +60,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
     counted AS (
         SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
                count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) AS said,
-               count(*) FILTER (NOT live) AS n_copied
+               count(*) FILTER (NOT live) AS n_copied, max(repositories) FILTER (live) AS spread
         FROM marked GROUP BY doc_id
     ),
     listed AS (
@@ -69,7 +69,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
     )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(said, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(spread, 0) AS n_repositories
 FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 

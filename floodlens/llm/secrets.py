@@ -5,12 +5,12 @@ split() and regexp_extract_all() walk the text alike, so the lengths of pieces a
 matches, added up, are the places of all matches in code points.
 
 Ownership: the digest of each found value is counted over distinct repositories and
-distinct owners of the whole corpus. A value that several owners or many repositories
-have is a widely copied example. One that a single owner has in few repositories, with
-enough different characters, looks live, and gives a further span of kind `live` over
-the value itself. Counts go (digest, owner, repository), then (digest, owner), then
-digest, each pre-aggregated in the tasks, so a value in a third of all rows is a few
-rows for each task.
+distinct owners of the whole corpus. A value that several owners have is a widely copied
+example. One that a single owner has, in however many repositories, with enough different
+characters, looks live, and gives a further span of kind `live` over the value itself;
+the number of repositories that hold it tells how far its owner has spread it. Counts go
+(digest, owner, repository), then (digest, owner), then digest, each pre-aggregated in
+the tasks, so a value in a third of all rows is a few rows for each task.
 
 Only digests of values leave the scan. Null texts have no spans. A null owner counts as
 one unknown owner, a null id as one repository; repeated rows count once. An empty table
@@ -37,10 +37,9 @@ KINDS = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),  # the runs of [0-9a-f]+ that have 16 or more characters
 ]
 
-# A value looks live if at most so many owners and repositories have it, and it has at
-# least so many different characters.
+# A value looks live if at most so many owners have it, and it has at least so many different
+# characters.
 MAX_OWNERS = 1
-MAX_REPOSITORIES = 3
 MIN_DISTINCT = 6
 
 SPAN = "struct<start:int,rank:int,kind:string,end:int,value_start:int,digest:string>"
@@ -113,27 +112,24 @@ def secrets(
     text_col: str = "text",
     owner_col: str = "source",
     max_owners: int = MAX_OWNERS,
-    max_repositories: int | None = MAX_REPOSITORIES,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, mark, base (spans), live (array of value spans by start), copied
-    (number of base spans whose value is a widely copied example). Without max_repositories owners
-    alone decide, however many repositories have the value."""
+    """One row per row of docs: doc_id, mark, base (spans), live (array of value spans by start, each with
+    the number of repositories that hold its value), copied (number of base spans whose value is a
+    widely copied example)."""
     found = materialize(scan(docs, id_col, text_col, owner_col), "secret-spans")
-    live_look = F.col("owners") <= max_owners
-    if max_repositories is not None:
-        live_look &= F.col("repositories") <= max_repositories
+    live_look = (F.col("owners") <= max_owners).alias("looks_live")
     # Written, so that the join below shuffles both sides for itself and a value in a third of all
     # documents can be split.
-    judged = materialize(ownership(found).select("digest", live_look.alias("looks_live")), "owned-values")
+    judged = materialize(ownership(found).select("digest", "repositories", live_look), "owned-values")
     each = found.select("doc_id", "mark", F.explode("base").alias("span"))
     each = each.select("doc_id", "mark", "span", "span.digest")
     each = each.where("digest IS NOT NULL").join(judged, "digest")
-    place = F.struct(F.col("span.value_start").alias("start"), F.col("span.end").alias("end"))
+    place = F.struct(F.col("span.value_start").alias("start"), F.col("span.end").alias("end"), "repositories")
     marks = each.groupBy("doc_id", "mark").agg(
         F.array_sort(F.collect_set(F.when(F.col("looks_live"), place))).alias("live"),
         F.collect_set(F.when(~F.col("looks_live"), F.col("digest"))).alias("examples"),
     )
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast("array<struct<start:int,end:int,repositories:bigint>>")
     copied = F.size(F.filter("base", lambda x: F.array_contains(F.col("examples"), x["digest"])))
     marks = marks.withColumnsRenamed({"doc_id": "of_doc", "mark": "of_mark"})
     return found.join(marks, F.expr("doc_id <=> of_doc AND mark = of_mark"), "left").select(
@@ -146,7 +142,8 @@ def secrets(
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts of base spans by kind, the digest of the base spans, and all spans as text."""
+    """Counts of base spans by kind, the digest of the base spans, all spans as text, and the widest spread
+    of a live value (n_repositories, 0 without one)."""
     written = F.transform(
         "base", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     )
@@ -174,14 +171,14 @@ def report(found: DataFrame) -> DataFrame:
         F.array_join(every, ",").alias("spans"),
         F.size("live").cast("long").alias("n_live"),
         F.col("copied").cast("long").alias("n_copied"),
+        F.coalesce(F.array_max(F.col("live.repositories")), F.lit(0)).cast("long").alias("n_repositories"),
     )
 
 
 def mask(docs: DataFrame, owner_col: str = "source", put: str = "[secret]") -> DataFrame:
     """docs with every live-looking value replaced in its text, and n_chars to match where the
-    column exists. Values of several owners stay as they are, and so do all documents. A value of
-    one owner is masked in however many documents it stands: only op3 and its SQL count those."""
-    found = secrets(docs, owner_col=owner_col, max_repositories=None).where(F.size("live") > 0)
+    column exists. Values of several owners stay as they are, and so do all documents."""
+    found = secrets(docs, owner_col=owner_col).where(F.size("live") > 0)
     # Repeated rows may differ in owner: what is live for one of them is masked in all.
     every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("live"))))
     found = found.groupBy("doc_id", "mark").agg(every.alias("live"))

@@ -189,9 +189,14 @@ def test_owners_tell_examples_from_live_secrets(spark):
     assert secrets.mask(docs).columns == docs.columns
 
 
-def test_one_owner_s_value_is_masked_in_all_its_documents(spark):
+def test_one_owner_s_value_is_live_in_all_its_documents(spark):
     rows = [(i, "key token=OWNERowner1234 end", None, "s1", 0, *MORE) for i in range(5)]
     rows += [(9 + i, "key token=SHAREDshared12 end", None, f"s{i}", 0, *MORE) for i in range(2)]
+    rows.append((20, "none", None, "s1", 0, *MORE))
+    told = {r.doc_id: r for r in secrets.report(secrets.secrets(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert all(told[i].n_live == 1 and told[i].n_repositories == 5 and "live:10:24" in told[i].spans for i in range(5))
+    assert all(told[i].n_live == 0 and told[i].n_copied == 1 and told[i].n_repositories == 0 for i in (9, 10))
+    assert (told[20].spans, told[20].n_repositories) == ("", 0)
     masked = {r.doc_id: r.text for r in secrets.mask(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [masked[i] for i in range(5)] == ["key token=[secret] end"] * 5
     assert masked[9] == masked[10] == "key token=SHAREDshared12 end"
