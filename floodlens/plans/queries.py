@@ -887,8 +887,7 @@ def evaluate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = views.separable_flows(spark, sf_dir)
     name, _ = training.train_and_select(whole, path, _specs()[:2])
     model, _ = models.load_model(spark, f"{path}/models")
-    unseen = training.prepare(whole, balance=False).raw_test
-    found = training.evaluate(unseen, model)
+    found = training.evaluate(spark.read.parquet(f"{path}/unseen"), model)
     return found["classification_report"].withColumn("model", F.lit(name))
 
 

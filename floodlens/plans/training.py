@@ -95,15 +95,17 @@ def train_and_select(
     """From labelled flows to saved models: (name of the best, comparison report).
 
     Models are fitted on unscaled rows with the scaler as their first stage, so a
-    loaded model takes rows as they come. Splits, models, the best model and the
-    report are written below ``path``.
+    loaded model takes rows as they come. Splits, models, the best model, the
+    report and the unscaled test rows (``unseen``) are written below ``path``.
     """
     ready = prepare(flows, key, balance)
+    ready.raw_test.write.parquet(f"{path}/unseen")
+    unseen = flows.sparkSession.read.schema(ready.raw_test.schema).parquet(f"{path}/unseen")
     write_splits(ready.train, ready.test, ready.scaler, f"{path}/splits")
     report = compare_models(
         model_specs() if specs is None else specs,
         ready.raw_train,
-        ready.raw_test,
+        unseen,
         key,
         f"{path}/models",
         scaler=ready.scaler,

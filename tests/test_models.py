@@ -95,7 +95,9 @@ def test_prepare_train_and_evaluate(spark, tmp_path):
     )
     assert name == "Tree" and report.count() == 1
     model, _ = md.load_model(spark, str(tmp_path / "run" / "models"))
-    found = evaluate(ready.raw_test, model)
+    unseen = spark.read.parquet(str(tmp_path / "run" / "unseen"))
+    assert unseen.exceptAll(ready.raw_test).isEmpty() and unseen.count() == ready.test.count()
+    found = evaluate(unseen, model)
     assert found["classification_report"].count() == 5
     assert found["confusion_matrix"].agg({"count": "sum"}).first()[0] == ready.test.count()
     assert 0 <= found["roc_auc"].first()[0] <= 1
