@@ -12,7 +12,7 @@ Documents with exactly equal texts are found first, by digest. All their words a
 if they have a window at all, and only the one with the smallest doc_id takes part further on.
 
 Null, empty and white texts have no words. Rows that repeat doc_id and text are copies of
-each other like any two equal texts. An empty table gives an empty result.
+each other like any two equal texts. A null doc_id stays null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from floodlens.llm.blocks import (
     copies,
     hash_bits,
     known_copies,
+    nulls_again,
     read_answers,
     same_text,
     together,
@@ -158,7 +159,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     one = answered(together(dealt, same, first, ASKED))
     two = answered(together(dealt, same.unionByName(one), second, ASKED))
-    return together(dealt, same.unionByName(one).unionByName(two), third, RESULT)
+    return nulls_again(together(dealt, same.unionByName(one).unionByName(two), third, RESULT))
 
 
 def _kept(words: Words, starts: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int, str]]:

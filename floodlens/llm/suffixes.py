@@ -41,6 +41,7 @@ from floodlens.llm.blocks import (
     copies,
     hash_bits,
     known_copies,
+    nulls_again,
     read_answers,
     same_text,
     together,
@@ -336,4 +337,4 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = answered(together(dealt, same, first, ASKED))
     sent = together(dealt, same.unionByName(one), second, SENT)
     two = sent.groupBy("bucket").applyInArrow(judge, "block int, round int, bucket int, answer binary")
-    return together(dealt, same.unionByName(one).unionByName(two), third, RESULT)
+    return nulls_again(together(dealt, same.unionByName(one).unionByName(two), third, RESULT))

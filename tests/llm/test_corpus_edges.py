@@ -379,3 +379,15 @@ def test_null_and_repeated_ids(spark):
     masked = sorted(r.text for r in secrets.mask(ids).collect())
     assert masked == sorted(t.replace("Ab3dEf6hIj9kLm", "[secret]") for _, t in found)
     assert exact.exact_groups(ids).count() == simhash.near_groups(ids).count() == len(found)
+
+
+def test_a_null_id_stays_null_beside_removed_passages(spark):
+    words = " ".join(f"word{i}" for i in range(40))
+    docs = table(spark, [(None, words), (3, f"start {words}"), (None, ""), (4, "short")], False)
+    want = [(None, 40, 40), (3, 41, 40), (None, 0, 0), (4, 1, 0)]
+    rows = substrings.remove_repeated(docs).collect()
+    assert sorted(map(str, [(r.doc_id, r.n_words, r.n_removed) for r in rows])) == sorted(map(str, want))
+    rows = suffixes.remove_repeated(docs).collect()
+    size = len(words)
+    want = [(None, size, 0), (3, size + 6, size), (None, 0, 0), (4, 5, 0)]
+    assert sorted(map(str, [(r.doc_id, r.n_bytes, r.n_removed) for r in rows])) == sorted(map(str, want))
