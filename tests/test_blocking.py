@@ -53,6 +53,25 @@ def test_big_blacklist_is_not_broadcast(spark, monkeypatch):
     assert blacklist_filter(packets, entries, "dropped").count() == 40
 
 
+def test_buckets_of_a_small_file_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Spark guesses sizes from files, and knows nothing of the buckets that long blocks are cut into."""
+    import floodlens.operators.blacklist as module
+    from floodlens.session import broadcast_if_small
+
+    monkeypatch.setattr(module, "broadcast_if_small", lambda df: broadcast_if_small(df, 100))
+    hours = 400 * 3600
+    spark.createDataFrame([(s, at(s), hours * 1_000_000) for s in range(20)], BLACKLIST).write.parquet(f"{tmp_path}/b")
+    packets = spark.createDataFrame(
+        [(s % 30, at(3600 * s), 60) for s in range(500)], "src_ip BIGINT, ts TIMESTAMP, pkt_len BIGINT"
+    )
+    marked = mark_blacklisted(packets, spark.read.parquet(f"{tmp_path}/b"))
+    plan = marked._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_bucket" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    want = sum(s % 30 < 20 and s % 30 <= 3600 * s < s % 30 + hours for s in range(500))
+    assert marked.where("dropped").count() == want
+
+
 def windows(spark, rows):
     return spark.createDataFrame(rows, "src_ip BIGINT, n BIGINT, is_attack BOOLEAN").selectExpr(
         "src_ip",
