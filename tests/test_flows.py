@@ -68,6 +68,20 @@ def test_cleaning_collapses_copies(spark):
     assert (stats["initial"], stats["removed"], stats["remaining"]) == (55, 53, 2)
 
 
+def test_cleaning_parses_each_value_once(spark, tmp_path):
+    names = ["flow_id", *[f for f in FLOW_FEATURES if f not in ("SYN_ACK_Ratio", "Proto_Entropy")]]
+    names += [c for c in ("Total Fwd Packets", "Total Backward Packets", "ACK Flag Count", "Label", "Flow ID") if c not in names]
+    bad = ["inf", "-Infinity", "NaN", "", "x"]
+    rows = [[f"k{i}" if n in ("flow_id", "Flow ID", "Label") else "3" for n in names] for i in range(8)]
+    for row, text in zip(rows, bad):
+        row[names.index("Flow Duration")] = text
+    (tmp_path / "a.csv").write_text("\n".join(",".join(r) for r in [names, *rows]) + "\n")
+    clean = fl.clean_flows(read_flows(spark, str(tmp_path)))
+    assert sorted(r.flow_id for r in clean.collect()) == ["k5", "k6", "k7"]
+    plan = clean._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.count("Duration") for line in plan.splitlines() if "Filter" in line] == [1]
+
+
 def test_derived_flow_features(spark):
     rows = [(5, 0, 0, 0), (4, 2, 3, 1), (4, 2, 4, 0), (None, 1, 1, 1)]
     df = spark.createDataFrame(
