@@ -157,3 +157,11 @@ def test_exported_model_scores_in_batches(spark, tmp_path):
 def test_threshold_is_strict(spark):
     df = spark.createDataFrame([(0.85,), (0.8500001,), (None,)], "score DOUBLE")
     assert [r["is_attack"] for r in scoring.threshold(df).collect()] == [False, True, False]
+
+
+def test_donors_are_never_broadcast(spark, table, tmp_path):
+    table.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    found = md.permutation_importance(stored, md.train_tree(stored, maxDepth=3), "k", group_rows=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
