@@ -206,3 +206,21 @@ def test_headers_come_from_one_job(spark, tmp_path):
     rows = read_flows(spark, str(long))
     assert rows.columns == ["a", "two\nlines", "Label"]
     assert sorted(tuple(r) for r in rows.collect()) == [("1", "2", "x"), ("3", "4", "y")]
+
+
+def test_frequent_values_are_found_by_the_count_alone(spark):
+    values = [float(i % 4) for i in range(8000)] + [-0.0, float("nan")]
+    rows = [(g, v) for g in ("a", "b", None) for v in values]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE").repartition(3)
+    places = [("p", 3000), ("q", 5000), ("last", 7999)]
+    found = select_ranks(df, ["g"], "v", lambda n: [(t, F.lit(r)) for t, r in places], [0.38, 0.63, 1.0], most=20)
+    # Nothing is left to be ordered, and no group is without a name.
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {("p", 1.0), ("q", 2.0), ("last", 3.0)}
+    assert {(r["g"], r["tag"], r["value"], r["total"]) for r in found.collect()} == {
+        (g, t, v, 8002) for g in "ab" for t, v in want
+    }
+    top = select_ranks(df, ["g"], "v", lambda n: [("nan", n - 1), ("zero", F.lit(0))], [0.0, 1.0], most=20)
+    assert {(r["g"], r["tag"], str(r["value"])) for r in top.collect()} == {
+        (g, t, v) for g in "ab" for t, v in (("nan", "nan"), ("zero", "0.0"))
+    }
