@@ -224,3 +224,10 @@ def test_frequent_values_are_found_by_the_count_alone(spark):
     assert {(r["g"], r["tag"], str(r["value"])) for r in top.collect()} == {
         (g, t, v) for g in "ab" for t, v in (("nan", "nan"), ("zero", "0.0"))
     }
+
+
+def test_box_rows_find_their_fences_by_one_number(spark):
+    df = spark.createDataFrame([(float(i), "BENIGN" if i % 2 else "Syn") for i in range(100)], "f DOUBLE, Label STRING")
+    plan = fl.box_stats(df, ["f"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and "_group#" in joins[1] and "feature" not in joins[1]
