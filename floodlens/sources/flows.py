@@ -71,6 +71,16 @@ def _typed(name: str, kind: T.DataType) -> Column:
     return F.col(f"`{name}`") if isinstance(kind, T.StringType) else text.try_cast(kind)
 
 
+def _may_parse(name: str, kind: T.DataType) -> Column:
+    """False for texts that are no number by their first character; parsing those raises an exception each,
+    which costs far more than a number."""
+    if not isinstance(kind, T.NumericType):
+        return F.lit(True)
+    text = F.trim(f"`{name}`")
+    # Digits, signs, points and blanks are all below a colon; letters begin a number in these words only.
+    return (F.substring(text, 1, 1) < ":") | text.rlike(r"(?i)^(inf|infinity|nan)[\x00-\x20]*$")
+
+
 def _as_text(spark: SparkSession, path: str) -> DataFrame:
     """All files of a path as text columns, matched by name: files are read in groups that share
     one header, so a column's place in a file does not matter."""
@@ -107,11 +117,16 @@ def parse_errors(spark: SparkSession, path: str, types: dict[str, T.DataType] |
     raw = _as_text(spark, path)
     checked = [n for n in raw.columns if not isinstance(known.get(n, T.StringType()), T.StringType)]
     there = {n: F.col(f"`{n}`").isNotNull() & (F.trim(f"`{n}`") != "") for n in checked}
-    wrong = {n: there[n] & _typed(n, known[n]).isNull() for n in checked}
-    counts = raw.agg(
-        *[F.count_if(there[n]).alias(f"present_{i}") for i, n in enumerate(checked)],
-        *[F.count_if(wrong[n]).alias(f"wrong_{i}") for i, n in enumerate(checked)],
-        *[F.min(F.when(wrong[n], F.col(f"`{n}`"))).alias(f"example_{i}") for i, n in enumerate(checked)],
+    # Each value is parsed once, and what does not parse is counted and compared below.
+    wrong = {n: ~_may_parse(n, known[n]) | _typed(n, known[n]).isNull() for n in checked}
+    parsed = raw.select(
+        *[F.when(there[n], wrong[n]).alias(f"_wrong_{i}") for i, n in enumerate(checked)],
+        *[F.col(f"`{n}`").alias(f"_text_{i}") for i, n in enumerate(checked)],
+    )
+    counts = parsed.agg(
+        *[F.count(f"_wrong_{i}").alias(f"present_{i}") for i in range(len(checked))],
+        *[F.count_if(f"_wrong_{i}").alias(f"wrong_{i}") for i in range(len(checked))],
+        *[F.min(F.when(F.col(f"_wrong_{i}"), F.col(f"_text_{i}"))).alias(f"example_{i}") for i in range(len(checked))],
     )
     rows = [
         F.struct(

@@ -231,3 +231,18 @@ def test_box_rows_find_their_fences_by_one_number(spark):
     plan = fl.box_stats(df, ["f"])._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert len(joins) == 2 and "_group#" in joins[1] and "feature" not in joins[1]
+
+
+def test_texts_that_cannot_be_numbers_are_not_parsed(spark, tmp_path):
+    texts = ["1.5", " 2", "+3", "-4e2", ".5", "0x1p3", "inf", "-Infinity", "NaN", "nan ", "INF", "1d", "n/a 7", "nano", "Infinite", "é", "-", "/", "3 4"]
+    lines = "".join(f'"{t}","{t}"\n' for t in texts)
+    (tmp_path / "f.csv").write_text(f"Flow Duration,SYN Flag Count\n{lines},\n")
+    parsed = read_flows(spark, str(tmp_path / "f.csv"))
+    found = {r["column"]: r for r in parse_errors(spark, str(tmp_path / "f.csv")).collect()}
+    for name in parsed.columns:
+        wrong = len(texts) + 1 - parsed.where(F.col(f"`{name}`").isNotNull()).count() - 1
+        assert (found[name]["present"], found[name]["unparsable"]) == (len(texts), wrong)
+    assert found["Flow Duration"]["unparsable"] == 7 and found["Flow Duration"]["example"] == "-"
+    plan = parse_errors(spark, str(tmp_path / "f.csv"))._jdf.queryExecution().optimizedPlan().toString()
+    tops = [line for line in plan.splitlines() if "Aggregate" in line]
+    assert tops and not any("try_cast" in line for line in tops) and "RLIKE" in plan
