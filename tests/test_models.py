@@ -1,9 +1,12 @@
 """Training, tuning, comparing and explaining on a small separable table."""
 
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodlens.operators import models as md
@@ -165,3 +168,62 @@ def test_donors_are_never_broadcast(spark, table, tmp_path):
     found = md.permutation_importance(stored, md.train_tree(stored, maxDepth=3), "k", group_rows=100)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def _left(spark, before=frozenset()):
+    return {p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("*-*")} - before
+
+
+def test_search_makes_no_copies_and_scores_like_the_library(spark, table, monkeypatch):
+    spec = md.ModelSpec("Tree", md.model_specs()[0].estimator, {"maxDepth": [0, 1, 3], "minInstancesPerNode": [1, 60]})
+    searches, search = [], md._search
+    monkeypatch.setattr(md, "_search", lambda s, rows: searches.append((s, rows.localCheckpoint())) or search(s, rows))
+    before = _left(spark)
+    in_memory = md.grid_search(table, spec, "k")
+    searches.clear()
+    monkeypatch.setattr(md, "FEW_ROWS", 10)
+    with monkeypatch.context() as m:
+        for name in ("cache", "persist"):
+            m.setattr(DataFrame, name, lambda *a, **k: pytest.fail("rows are copied"))
+        found = md.grid_search(table, spec, "k")
+        m.setattr(md, "TOGETHER_ROWS", 10)
+        alone = md.grid_search(table, spec, "k")
+    assert not [name for name in _left(spark, before) if name.startswith("folds-")]
+    want = CrossValidator.fit(*searches[0])
+    assert found.avgMetrics == pytest.approx(want.avgMetrics) == alone.avgMetrics == in_memory.avgMetrics
+    assert found.stdMetrics == pytest.approx(want.stdMetrics) and md.best_params(found) == md.best_params(want)
+    assert md.best_params(alone) == md.best_params(want)
+    with pytest.raises(ValueError, match="no key"):
+        md.grid_search(table.withColumn("k", F.lit(None).cast("string")), spec, "k")
+    with pytest.raises(ValueError, match="fold"):
+        md.grid_search(table.where("k = 'k1'"), spec, "k")
+
+
+def test_models_share_the_written_folds(spark, table, tmp_path, monkeypatch):
+    made, store = [], md.store
+    monkeypatch.setattr(md, "FEW_ROWS", 10)
+    monkeypatch.setattr(md, "store", lambda df, name: made.append(name) or store(df, name))
+    tree, _, _, leafwise = md.model_specs()
+    specs = [md.ModelSpec(n, tree.estimator, {"maxDepth": [d]}) for n, d in (("A", 1), ("B", 2))]
+    specs.append(md.ModelSpec("C", leafwise.estimator, {"maxIter": [10], "numLeaves": [3]}))
+    before = _left(spark)
+    assert md.compare_models(specs, table, table, "k", str(tmp_path / "m")).count() == 3
+    # One copy of the rows for all models, and none of it or of the boosted rows is left.
+    assert made == ["folds"]
+    assert not [name for name in _left(spark, before) if name.startswith(("folds-", "boosted-"))]
+
+
+def test_preparation_writes_each_row_once(spark):
+    rng = np.random.default_rng(1)
+    names = ["Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets", "SYN Flag Count",
+             "ACK Flag Count", "Packet Length Mean", "Packet Length Variance", "Flow Duration", "Flow IAT Mean"]
+    rows = [(f"f{i}", *map(float, rng.integers(1, 50, 9)), "Syn" if i % 4 == 0 else "BENIGN") for i in range(200)]
+    flows = spark.createDataFrame(rows, "flow_id STRING, " + ", ".join(f"`{n}` DOUBLE" for n in names) + ", Label STRING")
+    before = _left(spark)
+    ready = prepare(flows)
+    parts = {r["label"]: r["count"] for r in ready.raw_train.groupBy("label").count().collect()}
+    assert parts[0] == parts[1] and ready.train.count() + ready.test.count() > 200
+    left = {name.rsplit("-", 1)[0] for name in _left(spark, before)}
+    assert {"features", "synthetic"} <= left <= {"features", "synthetic", "scaler", "rank-slots"}
+    ready.release()
+    assert {name.rsplit("-", 1)[0] for name in _left(spark, before)} <= {"rank-slots"}
